@@ -79,3 +79,18 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values[offsets[i]:offsets[i+1]] for each i; empty ranges give 0."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, rest: int, limit: int) -> DataFrame:
+    """(doc_id, text, label) of at most `limit` label rows outside the held-out fold, least hash of the id first.
+
+    The picked label rows are broadcast, which `limit` bounds, so no text is shuffled. Rows with a null id,
+    text or label teach nothing.
+    """
+    picked = (
+        labels.select("doc_id", F.col(label).cast("int").alias("label"))
+        .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out("doc_id", folds, rest))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
+        .limit(limit)
+    )
+    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
