@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op5_quality": "quality",
     "op6_language_id": "language_id",
+    "op8_simhash_near_dedup": "simhash",
 }
 
 QUERIES = {name: getattr(import_module(f".{module}", __package__), name) for name, module in MODULES.items()}
