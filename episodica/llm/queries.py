@@ -6,9 +6,11 @@ from importlib import import_module
 
 #: name: module of the query function of the same name.
 MODULES = {
+    "op3_best_fit_packing": "packing",
     "op5_quality": "quality",
     "op6_language_id": "language_id",
     "op8_simhash_near_dedup": "simhash",
+    "op10_token_store": "token_store",
 }
 
 QUERIES = {name: getattr(import_module(f".{module}", __package__), name) for name, module in MODULES.items()}
