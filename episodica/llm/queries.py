@@ -9,6 +9,7 @@ MODULES = {
     "op3_best_fit_packing": "packing",
     "op5_quality": "quality",
     "op6_language_id": "language_id",
+    "op7_benchmark_decontamination": "decontaminate",
     "op8_simhash_near_dedup": "simhash",
     "op10_token_store": "token_store",
 }
