@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: name: module of the query function of the same name.
 MODULES = {
+    "op1_nearest_neighbours": "ann",
     "op3_best_fit_packing": "packing",
     "op5_quality": "quality",
     "op6_language_id": "language_id",
