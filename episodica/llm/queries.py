@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_nearest_neighbours": "ann",
     "op3_best_fit_packing": "packing",
+    "op4_html_extraction": "html_text",
     "op5_quality": "quality",
     "op6_language_id": "language_id",
     "op7_benchmark_decontamination": "decontaminate",
