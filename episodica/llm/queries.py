@@ -7,6 +7,7 @@ from importlib import import_module
 #: name: module of the query function of the same name.
 MODULES = {
     "op1_nearest_neighbours": "ann",
+    "op2_toxicity": "toxicity",
     "op3_best_fit_packing": "packing",
     "op4_html_extraction": "html_text",
     "op5_quality": "quality",
