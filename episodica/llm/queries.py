@@ -14,6 +14,7 @@ MODULES = {
     "op6_language_id": "language_id",
     "op7_benchmark_decontamination": "decontaminate",
     "op8_simhash_near_dedup": "simhash",
+    "op9_suffix_array_dedup": "substring_dedup",
     "op10_token_store": "token_store",
 }
 
