@@ -1,12 +1,61 @@
-"""The corpus pipeline: language ID, near-dedup, substring dedup, decontamination, packing."""
+"""The corpus pipeline over documents: language ID, near-dedup, substring dedup, decontamination, packing.
+
+Each stage takes what the one before kept and, but for the last, returns the columns of documents. doc_id is
+taken as the documents' key; rows without an id pass the near-duplicate stage and are never matched.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from episodica.llm import decontaminate, language_id, packing, simhash, substring_dedup
+from episodica.llm.common import read_table, stored
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents too far from every language, or without letters, go."""
+    found = language_id.identify(docs, language_id.train(docs), docs.columns)
+    return found.filter("not rejected").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    groups = simhash.near_duplicates(docs.filter("doc_id is not null"))
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that also start in a document with a smaller id are cut out of the texts."""
+    return substring_dedup.remove_repeats(docs)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, up to some edits, go."""
+    found = decontaminate.leaks(docs, read_table(spark, sf_dir, "benchmark"), docs.columns)
+    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("SimHash near-dedup", one_of_each),
+    ("suffix-array dedup", without_repeats),
+    ("benchmark decontamination", without_leaks),
+    ("best-fit packing", packed),
+]
 
-STAGES: list = []
+#: Fingerprints, suffix arrays, edit distances and token ids are beyond SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
