@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from .suffix_array import common_prefixes, suffix_array
 WIDTH = 50
 GRAM = 16
 LONGEST = 64  # windows in a run
+PLACE = 128  # a run's first window and number of windows in one long
 SHARD = 1 << 20
 SPANS = "doc_id bigint, th bigint, start bigint, length bigint"
 
@@ -81,7 +83,7 @@ def _runs(batches, width: int):
             digest = xxhash.xxh64_intdigest
             content = np.array([digest(data[a:b]) for a, b in zip(first.tolist(), (first + n + width - 1).tolist())], np.uint64).view(np.int64)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["m", "sh", "doc_id", "th", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(at * PLACE + n)], names=["m", "sh", "doc_id", "th", "place"])
 
 
 def _content(batches, width: int):
@@ -160,21 +162,25 @@ def _shards(batches, width: int):
 
 
 def _release(spark) -> None:
-    """Let the driver's JVM see now that the shuffles of finished steps are free, so their files go."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver's JVM see now that the shuffles of finished steps are free, so that their files go meanwhile."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, th, start, length) in bytes of stretches to remove, which may overlap; th is xxhash64 of the text."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
-    runs = rows.mapInArrow(lambda it: _runs(it, width), "m bigint, sh bigint, doc_id bigint, th bigint, at int, n int")
+    runs = rows.mapInArrow(lambda it: _runs(it, width), "m bigint, sh bigint, doc_id bigint, th bigint, place bigint")
     alike, met = Window.partitionBy("m", "sh"), Window.partitionBy("m")
     seen = runs.withColumn("own", F.min("doc_id").over(alike))
     seen = seen.withColumn("lo", F.min("doc_id").over(met)).withColumn("hi", F.max("doc_id").over(met)).withColumn("several", F.min("sh").over(met) != F.max("sh").over(met))
     kept = seen.filter((F.col("lo") < F.col("hi")) & ((F.col("doc_id") > F.col("own")) | F.col("several")))
-    kept = stored(kept.select("m", "doc_id", "th", "at", "n", (F.col("doc_id") > F.col("own")).alias("copy")), "runs")
+    copy = F.col("doc_id") > F.col("own")
+    at, n = F.floor(F.col("place") / PLACE).cast("int"), (F.col("place") % PLACE).cast("int")
+    kept = stored(kept.select(F.when(~copy, F.col("m")).alias("m"), "doc_id", "th", at.alias("at"), n.alias("n"), copy.alias("copy")), "runs")
     _release(spark)
     copies = kept.filter("copy").select("doc_id", "th", F.col("at").cast("bigint").alias("start"), (F.col("n") + (width - 1)).cast("bigint").alias("length"))
     wanted = kept.filter("not copy").groupBy(F.col("doc_id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_list(F.struct("m", "at", "n")).alias("runs"))
