@@ -55,20 +55,20 @@ def mcnemar(b: int, c: int) -> float:
 
 
 def _over(test):
-    def run(*counts: pd.Series) -> pd.Series:
-        return pd.Series([test(*map(int, x)) for x in zip(*counts)], dtype=float)
+    def run(first: pd.Series, *rest: pd.Series) -> pd.Series:
+        return pd.Series([test(*map(int, x)) for x in zip(first, *rest)], dtype=float)
 
     return run
 
 
 def fisher_exact(*counts) -> Column:
     """Of columns a, b, c, d; a row is a hypothesis, so there are few."""
-    return F.pandas_udf(_over(fisher), "double", F.PandasUDFType.SCALAR)(*counts)
+    return F.pandas_udf(_over(fisher), "double")(*counts)
 
 
 def mcnemar_exact(*counts) -> Column:
     """Of columns b, c."""
-    return F.pandas_udf(_over(mcnemar), "double", F.PandasUDFType.SCALAR)(*counts)
+    return F.pandas_udf(_over(mcnemar), "double")(*counts)
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, order: str, q: float = 0.10) -> DataFrame:

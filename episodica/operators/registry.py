@@ -105,7 +105,7 @@ def assert_byte_stable(corpus: Corpus, config: dict[str, dict] | None = None) ->
     spark = corpus.steps.sparkSession
     before = spark.conf.get("spark.sql.shuffle.partitions")
     first = [serialize(r) for r in run_all(corpus, config)]
-    mixed = Corpus(corpus.domain, corpus.composition, corpus.merkle_root, corpus.steps.repartition(5).orderBy(F.desc("idx")), corpus.episodes.repartition(3))
+    mixed = Corpus(corpus.domain, corpus.composition, corpus.merkle_root, corpus.steps.repartition(5, "idx"), corpus.episodes.repartition(3))
     spark.conf.set("spark.sql.shuffle.partitions", str(int(before) + 3))
     try:
         again = [serialize(r) for r in run_all(mixed, config)]
@@ -113,4 +113,4 @@ def assert_byte_stable(corpus: Corpus, config: dict[str, dict] | None = None) ->
         spark.conf.set("spark.sql.shuffle.partitions", before)
     for name, a, b in zip(registered_analyzers(), first, again):
         if a != b:
-            raise AssertionError(f"{name} isn't byte-stable")
+            raise AssertionError(f"{name} isn't byte-stable:\n{a}\n{b}")

@@ -26,7 +26,7 @@ def version_of(name: str) -> str:
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """(version, sha256, text) of every instruction file."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "P_*_*.md").text(folder).withColumn("file", F.input_file_name())
+    rows = spark.read.option("pathGlobFilter", "P_*_*.md").text(folder, wholetext=True).withColumn("file", F.input_file_name())
     part = lambda k: F.regexp_extract("file", NAME, k)
     return rows.filter(F.col("file").rlike(NAME)).select(F.concat(F.lit("P/"), part(1), F.lit("."), part(2)).alias("version"), F.sha2("value", 256).alias("sha256"), F.col("value").alias("text"))
 
