@@ -51,12 +51,16 @@ class _Stock:
             small = small[:-1]
         return [int(total - small[-1]), int(small[-1])] if len(small) else None
 
-    def exact(self, gap: int) -> list[int] | None:
-        """Up to three lengths that fill the gap."""
-        if self.left[gap] > 0:
+    def exact(self, gap: int, most: int = 3) -> list[int] | None:
+        """At most that many lengths that fill the gap."""
+        if most and self.left[gap] > 0:
             return [gap]
+        if most < 2:
+            return None
         if found := self.pair(gap):
             return found
+        if most < 3:
+            return None
         third = np.flatnonzero((self.left[1 : gap // 3 + 1] > 0) & self.paired[gap - 1 : gap - gap // 3 - 1 : -1]) + 1 if gap >= 3 else []
         for a in third[::-1]:
             if not self.pair(gap - a):
@@ -79,12 +83,21 @@ class _Stock:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Patterns of lengths and how many sequences use each."""
+    """Patterns of lengths and how many sequences use each.
+
+    Of the plans that complete gaps with up to three, two, one or no lengths at once, the shortest: where lengths
+    are few, spending small ones on exact fills early can cost more than it saves.
+    """
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1, 0)]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[list[int], int]]:
     stock, out = _Stock(counts, capacity), []
     for length in range(capacity, 0, -1):
         while stock.left[length] > 0:
             stock.left[length] -= 1
-            rest = stock.exact(capacity - length) if length < capacity else []
+            rest = stock.exact(capacity - length, most) if length < capacity else []
             stock.left[length] += 1
             if rest is None:
                 break
@@ -94,7 +107,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
             pattern, gap = [length], capacity - length
             stock.left[length] -= 1
             while gap:
-                more = stock.exact(gap)
+                more = stock.exact(gap, most)
                 if more is None:
                     fits = np.flatnonzero(stock.left[1 : gap + 1])
                     if not len(fits):
