@@ -33,7 +33,7 @@ from .suffix_array import common_prefixes, suffix_array
 WIDTH = 50
 GRAM = 16
 LONGEST = 64  # windows in a run
-PLACE = 128  # a run's first window and number of windows in one long
+PLACE = 128  # a run's first window, number of windows and whether it is settled in one long
 SHARD = 1 << 20
 SPANS = "doc_id bigint, th bigint, start bigint, length bigint"
 
@@ -74,16 +74,54 @@ def window_runs(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tup
     return row[first], first - offsets[row[first]], np.diff(np.append(start, len(at))), key[first].view(np.int64)
 
 
+class Seen:
+    """Contents met in several documents of this task, and the least of these: the map side of the aggregation.
+
+    A run whose content a smaller document of the task holds goes whole, whatever other tasks find, so it needn't
+    meet the runs of its key. A passage or text that very many documents share so sends a few rows a task.
+    """
+
+    def __init__(self, most: int = 1 << 18):
+        self.content, self.doc, self.most = np.zeros(0, np.int64), np.zeros(0, np.int64), most
+
+    def copies(self, key: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which runs are sure to go; remembers contents of more than one document."""
+        mixed = content ^ key * np.int64(-7046029254386353131)
+        order = np.lexsort((doc, mixed))
+        own, docs = mixed[order], doc[order]
+        start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        size = np.diff(np.append(start, len(own)))
+        least = docs[start]
+        at = np.minimum(np.searchsorted(self.content, own[start]), max(0, len(self.content) - 1))
+        held = (self.content[at] == own[start]) if len(self.content) else np.zeros(len(start), bool)
+        before = np.where(held, self.doc[at] if len(self.doc) else least, least)
+        gone = np.empty(len(own), bool)
+        gone[order] = docs > np.repeat(np.minimum(least, before), size)
+        several = held | (docs[start + size - 1] > least)
+        content, doc = np.concatenate([own[start][several], self.content]), np.concatenate([np.minimum(least, before)[several], self.doc])
+        self.content, first = np.unique(content, return_index=True)
+        self.doc = doc[first]
+        if len(self.content) > self.most:  # forgetting costs rows, not results
+            self.content, self.doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return gone
+
+
 def _runs(batches, width: int):
+    seen = Seen()
     for whole in batches:
         for batch in slices(whole, "text", 2 << 20):
             raw, offsets = text_bytes(batch.column("text"))
             row, at, n, key = window_runs(raw, offsets, width)
+            if not len(row):
+                continue
             data, first = raw.tobytes(), at + offsets[row]
             digest = xxhash.xxh64_intdigest
             content = np.array([digest(data[a:b]) for a, b in zip(first.tolist(), (first + n + width - 1).tolist())], np.uint64).view(np.int64)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(at * PLACE + n)], names=["m", "sh", "doc_id", "th", "place"])
+            doc = batch.column("doc_id").to_numpy()[row]
+            gone = seen.copies(key, content, doc)
+            # runs that are settled are spread by a key of their own
+            key = np.where(gone, content ^ (doc * 0x1000003 + at) * np.int64(-7046029254386353131), key)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(doc), batch.column("th").take(pa.array(row)), pa.array((at * PLACE + n) * 2 + gone)], names=["m", "sh", "doc_id", "th", "place"])
 
 
 def _content(batches, width: int):
@@ -177,9 +215,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     alike, met = Window.partitionBy("m", "sh"), Window.partitionBy("m")
     seen = runs.withColumn("own", F.min("doc_id").over(alike))
     seen = seen.withColumn("lo", F.min("doc_id").over(met)).withColumn("hi", F.max("doc_id").over(met)).withColumn("several", F.min("sh").over(met) != F.max("sh").over(met))
-    kept = seen.filter((F.col("lo") < F.col("hi")) & ((F.col("doc_id") > F.col("own")) | F.col("several")))
-    copy = F.col("doc_id") > F.col("own")
-    at, n = F.floor(F.col("place") / PLACE).cast("int"), (F.col("place") % PLACE).cast("int")
+    copy = (F.col("place") % 2 == 1) | (F.col("doc_id") > F.col("own"))
+    kept = seen.filter(copy | ((F.col("lo") < F.col("hi")) & F.col("several")))
+    at, n = F.shiftright("place", 8).cast("int"), (F.shiftright("place", 1) % PLACE).cast("int")
     kept = stored(kept.select(F.when(~copy, F.col("m")).alias("m"), "doc_id", "th", at.alias("at"), n.alias("n"), copy.alias("copy")), "runs")
     _release(spark)
     copies = kept.filter("copy").select("doc_id", "th", F.col("at").cast("bigint").alias("start"), (F.col("n") + (width - 1)).cast("bigint").alias("length"))
