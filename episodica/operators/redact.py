@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +86,68 @@ def span_recall(found: DataFrame, expected: DataFrame) -> DataFrame:
     hit = F.sum(F.least("f", "e"))
     one = lambda total: F.coalesce(F.try_divide(hit, F.sum(total)), F.lit(1.0))
     return both.agg(one("e").alias("recall"), one("f").alias("precision"))
+
+
+#: Of a step in a record: where strings are, in the order that numbers values; arguments may be nested.
+RECORD_PATHS = (("observation", "text"), ("output", "text"), ("output", "reasoning_text"), ("action", "text"), ("action", "arguments"), ("action", "arguments_raw"), ("result", "text"))
+
+
+def _accepts(validator: str | None, text: str) -> bool:
+    digits = re.sub(r"\D" if validator == "phone" else "[ -]", "", text)
+    if validator == "phone":
+        return 10 <= len(digits) <= 15
+    if validator == "us_ssn":
+        return len(digits) == 9 and digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+    if validator == "card":
+        doubled = [int(d) * (1 + k % 2) for k, d in enumerate(reversed(digits))]
+        return 13 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+    return True
+
+
+class Numbering:
+    """Placeholders of one episode, for records whose strings lie in nested JSON."""
+
+    def __init__(self, policy: r.Policy = r.DEFAULT):
+        self.detectors = [(re.compile(p), cls, order, validator) for cls, p, order, validator in policy.detectors]
+        self.names: dict[tuple[str, str], str] = {}
+        self.counts: Counter = Counter()
+
+    def _name(self, cls: str, value: str) -> str:
+        self.counts[cls] += 1
+        own = sum(c == cls for c, _ in self.names)
+        return self.names.setdefault((cls, value), f"<{cls}_{own + 1}>")
+
+    def text(self, text: str) -> str:
+        hits = [(m.start(), -len(m[0]), order, cls, m[0]) for p, cls, order, validator in self.detectors for m in p.finditer(text) if _accepts(validator, m[0])]
+        out, at = "", 0
+        for start, size, _, cls, value in sorted(hits):
+            if start >= at:
+                out, at = out + text[at:start] + self._name(cls, value), start - size
+        return out + text[at:]
+
+    def value(self, x):
+        """Strings within lists and objects, keys in order; keys themselves stay."""
+        if isinstance(x, str):
+            return self.text(x)
+        if isinstance(x, dict):
+            return {k: self.value(x[k]) for k in sorted(x)}
+        return [self.value(v) for v in x] if isinstance(x, list) else x
+
+
+def redact_record(body: str, policy: r.Policy = r.DEFAULT) -> str:
+    """A trajectory's JSON with all personal data of its steps replaced and its redaction noted."""
+    held, own = json.loads(body), Numbering(policy)
+    for step in held.get("steps") or []:
+        for part, leaf in RECORD_PATHS:
+            if (step.get(part) or {}).get(leaf) is not None:
+                step[part][leaf] = own.value(step[part][leaf])
+    held["redaction"] = {"applied": True, "policy_version": policy.version, "counts": dict(sorted(own.counts.items()))}
+    return json.dumps(held, ensure_ascii=False)
+
+
+def redact_records(bodies: Column, policy: r.Policy = r.DEFAULT) -> Column:
+    """redact_record over a column of JSON texts; nested arguments are beyond column functions."""
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else redact_record(b, policy))
+
+    return F.pandas_udf(run, "string")(bodies)

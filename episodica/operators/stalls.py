@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,46 +10,51 @@ LONGEST_PERIOD = 4
 RUN = ("trajectory_id", "start", "end", "action", "length", "kind", "period")
 
 
-def repeat_runs(steps: DataFrame, least: int = LEAST_REPEATS, whitelist: tuple[str, ...] = ()) -> DataFrame:
-    """Maximal runs of one action under one observation, of at least `least` steps."""
+def _runs(steps: DataFrame, periods: tuple[int, ...], least: int, whitelist: tuple[str, ...]) -> DataFrame:
+    """Maximal stretches in which each step equals, in action and observation, the one a period on.
+
+    Steps that match so form islands; an island is cut where an earlier stretch of its period still reaches. Period 1
+    gives repeats. All periods run through one plan: they share its windows, and no union has to line up partitions.
+    """
     by = Window.partitionBy("trajectory_id").orderBy("idx")
-    same = F.lag("action").over(by).eqNullSafe(F.col("action")) & F.lag("obs").over(by).eqNullSafe(F.col("obs")) & (F.lag("idx").over(by).isNotNull())
-    island = F.sum(F.when(same, 0).otherwise(1)).over(by)
-    runs = steps.select("trajectory_id", "idx", "action", "obs").withColumn("island", island)
-    found = runs.groupBy("trajectory_id", "island").agg(F.min("idx").alias("start"), F.max("idx").alias("end"), F.first("action").alias("action"), F.count(F.lit(1)).alias("length"))
-    kept = found.filter((F.col("length") >= least) & (~F.col("action").isin(*whitelist) if whitelist else F.lit(True)))
-    return kept.withColumns({"kind": F.lit("repeat_action"), "period": F.lit(None).cast("int")}).select(*RUN)
 
+    def match(p: int):
+        same = F.lead("action", p).over(by).eqNullSafe(F.col("action")) & F.lead("obs", p).over(by).eqNullSafe(F.col("obs"))
+        return F.struct(F.lit(p).alias("period"), (same & F.lead("idx", p).over(by).isNotNull()).alias("match"))
 
-def _cycles(steps: DataFrame, period: int, whitelist: tuple[str, ...]) -> DataFrame:
-    """A step matches the one a period on; each island of matches is cut where an earlier cycle still reaches."""
-    by = Window.partitionBy("trajectory_id").orderBy("idx")
-    match = (F.lead("action", period).over(by) == F.col("action")) & F.lead("obs", period).over(by).eqNullSafe(F.col("obs"))
-    marked = steps.select("trajectory_id", "idx", "action", "obs").withColumn("match", F.coalesce(match, F.lit(False)))
-    pattern = F.collect_list("action").over(by.rowsBetween(0, period - 1))
-    marked = marked.withColumns({"pattern": pattern, "island": F.col("idx") - F.sum(F.col("match").cast("int")).over(by)})
-    islands = marked.filter("match").groupBy("trajectory_id", "island").agg(F.min("idx").cast("bigint").alias("s"), (F.max("idx") + 1).cast("bigint").alias("e"))
-    per = islands.groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("islands"))
+    ahead = F.collect_list("action").over(by.rowsBetween(0, max(periods) - 1))
+    marked = steps.select("trajectory_id", F.col("idx").cast("bigint").alias("idx"), ahead.alias("ahead"), F.array(*map(match, periods)).alias("matches"))
+    every = marked.select("trajectory_id", "idx", F.explode("matches").alias("m")).select("trajectory_id", "idx", "m.*").filter("match")
+    island = F.col("idx") - F.row_number().over(Window.partitionBy("trajectory_id", "period").orderBy("idx"))
+    islands = every.withColumn("island", island).groupBy("trajectory_id", "period", "island").agg(F.min("idx").alias("s"), (F.max("idx") + 1).alias("e"))
+    per = islands.groupBy("trajectory_id", "period").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("islands"))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start: bigint, length: bigint>>").alias("runs"))
 
     def step(acc, island):
         first = F.greatest(island["s"], acc["at"])
-        run = F.struct(first.alias("start"), (island["e"] - first + period).alias("length"))
-        return F.when(island["e"] - first >= period, F.struct((island["e"] + period).alias("at"), F.array_append(acc["runs"], run).alias("runs"))).otherwise(acc)
-
-    runs = per.select("trajectory_id", F.explode(F.aggregate("islands", start, step, lambda a: a["runs"])).alias("run")).select("trajectory_id", "run.start", "run.length")
-    named = runs.join(marked.select("trajectory_id", F.col("idx").cast("bigint").alias("start"), "pattern"), ["trajectory_id", "start"])
-    progress = F.size(F.array_distinct("pattern")) > 1
+        run = F.struct(first.alias("start"), (island["e"] - first + F.col("period")).alias("length"))
+        longer = F.struct((island["e"] + F.col("period")).alias("at"), F.array_append(acc["runs"], run).alias("runs"))
+        return F.when(island["e"] - first >= F.col("period"), longer).otherwise(acc)
+
+    runs = per.select("trajectory_id", "period", F.explode(F.aggregate("islands", start, step, lambda a: a["runs"])).alias("run")).select("trajectory_id", "period", "run.start", "run.length")
+    named = runs.join(marked.select("trajectory_id", F.col("idx").alias("start"), "ahead"), ["trajectory_id", "start"]).withColumn("pattern", F.slice("ahead", 1, F.col("period")))
+    repeat = F.col("period") == 1
+    kept = F.when(repeat, F.col("length") >= least).otherwise(F.size(F.array_distinct("pattern")) > 1)
     if whitelist:
-        progress = progress & (F.size(F.array_except("pattern", F.array(*map(F.lit, whitelist)))) > 0)
-    return named.filter(progress).select(
-        "trajectory_id", "start", (F.col("start") + F.col("length") - 1).alias("end"), F.array_join("pattern", "|").alias("action"), "length", F.lit("cycle").alias("kind"), F.lit(period).alias("period")
+        kept = kept & (F.size(F.array_except("pattern", F.array(*map(F.lit, whitelist)))) > 0)
+    return named.filter(kept).select(
+        "trajectory_id", "start", (F.col("start") + F.col("length") - 1).alias("end"), F.array_join("pattern", "|").alias("action"), "length", F.when(repeat, "repeat_action").otherwise("cycle").alias("kind"), F.when(~repeat, F.col("period")).alias("period")
     )
 
 
+def repeat_runs(steps: DataFrame, least: int = LEAST_REPEATS, whitelist: tuple[str, ...] = ()) -> DataFrame:
+    """Maximal runs of one action under one observation, of at least `least` (2 or more) steps."""
+    return _runs(steps, (1,), least, whitelist)
+
+
 def cycle_runs(steps: DataFrame, longest: int = LONGEST_PERIOD, whitelist: tuple[str, ...] = ()) -> DataFrame:
     """Periodic stretches of at least two periods of 2 to `longest` steps whose actions aren't all alike or all allowed."""
-    return reduce(DataFrame.unionByName, [_cycles(steps, p, whitelist) for p in range(2, longest + 1)])
+    return _runs(steps, tuple(range(2, longest + 1)), 2, whitelist)
 
 
 def merged_runs(runs: DataFrame) -> DataFrame:
@@ -65,7 +68,7 @@ def merged_runs(runs: DataFrame) -> DataFrame:
 
 
 def stall_runs(steps: DataFrame, least: int = LEAST_REPEATS, longest: int = LONGEST_PERIOD, whitelist: tuple[str, ...] = ()) -> DataFrame:
-    return merged_runs(repeat_runs(steps, least, whitelist).unionByName(cycle_runs(steps, longest, whitelist)))
+    return merged_runs(_runs(steps, tuple(range(1, longest + 1)), least, whitelist))
 
 
 def stall_report(steps: DataFrame, episodes: DataFrame, least: int = LEAST_REPEATS, longest: int = LONGEST_PERIOD, whitelist: tuple[str, ...] = ()) -> DataFrame:

@@ -20,7 +20,8 @@ MAX_RECORD_BYTES = 8 * 1024 * 1024
 SEVERITY = ("reward_present", "step_contiguity", "token_keys_present", "actor_mode_valid", "system_prompt_hash_present", "schema_invalid")
 HEX64 = "^[0-9a-f]{64}$"
 
-Mapper = Callable[[DataFrame], DataFrame]
+#: From a parsed record to its warnings, an array<string> column.
+Mapper = Callable[[Column], Column]
 _MAPPERS: dict[str, Mapper] = {}
 
 
@@ -44,10 +45,10 @@ def keys(v: Column, path: str = "$") -> Column:
 
 
 @register_mapper("harness_run")
-def map_harness_run(rows: DataFrame) -> DataFrame:
+def map_harness_run(v: Column) -> Column:
     """Top-level keys outside the record are dropped, each with a warning."""
-    unknown = F.array_except(keys(F.col("v")), F.array(*map(F.lit, TOP_LEVEL)))
-    return rows.withColumn("warnings", F.transform(unknown, lambda k: F.concat(F.lit("dropped unknown top-level field: "), k)))
+    unknown = F.array_except(keys(v), F.array(*map(F.lit, TOP_LEVEL)))
+    return F.transform(unknown, lambda k: F.concat(F.lit("dropped unknown top-level field: "), k))
 
 
 def admit(spark, body: bytes, max_bytes: int = MAX_BATCH_BYTES, max_records: int = MAX_BATCH_RECORDS) -> tuple[int, str, DataFrame | None]:
@@ -167,9 +168,10 @@ def normalize(rows: DataFrame, splits: DataFrame | None = None, max_bytes: int =
     (task_id, split) must agree with the record's own split; tasks it doesn't hold are admitted.
     """
     parsed = rows.withColumn("v", F.try_parse_json("raw"))
-    parts = [mapper(parsed.filter(F.col("source_format") == f)) for f, mapper in sorted(_MAPPERS.items())]
-    other = parsed.filter(~F.col("source_format").isin(*_MAPPERS) | F.col("source_format").isNull()).withColumn("warnings", F.array().cast("array<string>"))
-    mapped = reduce(DataFrame.unionByName, [*parts, other])
+    warnings = F.array().cast("array<string>")
+    for source_format, mapper in sorted(_MAPPERS.items()):
+        warnings = F.when(F.col("source_format") == source_format, mapper(F.col("v"))).otherwise(warnings)
+    mapped = parsed.withColumn("warnings", warnings)
     known = F.coalesce(F.col("source_format").isin(*_MAPPERS), F.lit(False))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     checked = mapped.withColumn("broken", F.when(known & is_object, violations(F.col("v"))))

@@ -188,6 +188,18 @@ def test_spans(spark):
         for r in got:
             assert [x.value for x in r.s] == SPANS[r.k][1], r
             assert all(r.t[x.start : x.end] == x.value for x in r.s)
+            own = redact.Numbering(redaction.Policy(strict))
+            own.text(r.t or "")
+            assert [v for _, v in own.names] == list(dict.fromkeys(SPANS[r.k][1]))
+
+
+def test_records_are_redacted_in_depth(spark):
+    body = record(steps__0__action={"kind": "tool_call", "name": "f", "arguments": {"z": ["c@x.org"], "a": {"k": "b@x.org", "n": 1}}}, steps__0__result={"status": "ok", "text": "c@x.org"})
+    rows = spark.createDataFrame([(json.dumps(body),), (None,)], "body string")
+    got = [r[0] for r in rows.select(redact.redact_records(F.col("body"))).collect()]
+    held = json.loads(next(x for x in got if x))
+    assert held["steps"][0]["action"]["arguments"] == {"a": {"k": "<EMAIL_1>", "n": 1}, "z": ["<EMAIL_2>"]} and held["steps"][0]["result"]["text"] == "<EMAIL_2>"
+    assert held["redaction"] == {"applied": True, "policy_version": "redaction/1.0", "counts": {"EMAIL": 3}} and None in got
 
 
 def test_redaction_keeps_values_apart(spark):
