@@ -55,9 +55,9 @@ def held_out(doc_id: str, n: int, rest: int):
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of an Arrow string column, end to end, and its n+1 offsets; null reads as empty."""
-    column = column.fill_null("") if column.null_count else column
-    column = column.cast(pa.large_string())
+    """The bytes of an Arrow string or binary column, end to end, and its n+1 offsets; null reads as empty."""
+    column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "") if column.null_count else column
+    column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(offsets) else np.zeros(0, np.uint8)

@@ -35,6 +35,7 @@ GRAM = 16
 LONGEST = 64  # windows in a run
 PLACE = 128  # a run's first window, number of windows and whether it is settled in one long
 SHARD = 1 << 20
+CROWD = 1 << 16  # runs of one key beyond which its windows are matched one by one
 SPANS = "doc_id bigint, th bigint, start bigint, length bigint"
 
 
@@ -139,6 +140,18 @@ def _content(batches, width: int):
             yield pa.RecordBatch.from_arrays([fields.field("m"), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(at), pa.array(parts, pa.binary())], names=["m", "doc_id", "th", "at", "content"])
 
 
+def _windows(batches, width: int):
+    """Each window of each run, by its bytes."""
+    for whole in batches:
+        for batch in slices(whole, "content", 1 << 18):
+            parts = batch.column("content").to_pylist()
+            n = np.array([len(p) - width + 1 for p in parts])
+            take = pa.array(np.repeat(np.arange(len(parts)), n))
+            start = np.repeat(batch.column("at").to_numpy().astype(np.int64), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            each = [p[k : k + width] for p, m in zip(parts, n.tolist()) for k in range(m)]
+            yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary()), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(start)], names=["w", "doc_id", "th", "start"])
+
+
 def shard_spans(parts: list[bytes], docs: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(part, first window, windows) of maximal runs of windows that also lie in a part of a smaller document."""
     size = np.array([len(p) for p in parts])
@@ -207,24 +220,36 @@ def _release(spark) -> None:
         time.sleep(0.5)
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, th, start, length) in bytes of stretches to remove, which may overlap; th is xxhash64 of the text."""
+def repeated_spans(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, th, start, length) in bytes of stretches to remove, which may overlap; th is xxhash64 of the text.
+
+    Keys of more than `crowd` runs would outgrow a shard; their windows are grouped by their bytes instead, with
+    partial aggregation, so no task holds such a key.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
     runs = rows.mapInArrow(lambda it: _runs(it, width), "m bigint, sh bigint, doc_id bigint, th bigint, place bigint")
     alike, met = Window.partitionBy("m", "sh"), Window.partitionBy("m")
     seen = runs.withColumn("own", F.min("doc_id").over(alike))
-    seen = seen.withColumn("lo", F.min("doc_id").over(met)).withColumn("hi", F.max("doc_id").over(met)).withColumn("several", F.min("sh").over(met) != F.max("sh").over(met))
+    seen = seen.withColumn("lo", F.min("doc_id").over(met)).withColumn("hi", F.max("doc_id").over(met)).withColumn("several", F.min("sh").over(met) != F.max("sh").over(met)).withColumn("crowded", F.count(F.lit(1)).over(met) > crowd)
     copy = (F.col("place") % 2 == 1) | (F.col("doc_id") > F.col("own"))
     kept = seen.filter(copy | ((F.col("lo") < F.col("hi")) & F.col("several")))
     at, n = F.shiftright("place", 8).cast("int"), (F.shiftright("place", 1) % PLACE).cast("int")
-    kept = stored(kept.select(F.when(~copy, F.col("m")).alias("m"), "doc_id", "th", at.alias("at"), n.alias("n"), copy.alias("copy")), "runs")
+    kept = stored(kept.select(F.when(~copy, F.col("m")).alias("m"), "doc_id", "th", at.alias("at"), n.alias("n"), copy.alias("copy"), "crowded"), "runs")
     _release(spark)
     copies = kept.filter("copy").select("doc_id", "th", F.col("at").cast("bigint").alias("start"), (F.col("n") + (width - 1)).cast("bigint").alias("length"))
-    wanted = kept.filter("not copy").groupBy(F.col("doc_id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_list(F.struct("m", "at", "n")).alias("runs"))
-    own = rows.join(wanted, (rows.doc_id == F.col("of")) & (rows.th == F.col("of_th"))).select("doc_id", "th", "text", "runs")
-    content = own.mapInArrow(lambda it: _content(it, width), "m bigint, doc_id bigint, th bigint, at int, content binary")
-    edges = content.repartition("m").sortWithinPartitions("m").mapInArrow(lambda it: _shards(it, width), SPANS)
+
+    def content(part: DataFrame) -> DataFrame:
+        wanted = part.groupBy(F.col("doc_id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_list(F.struct("m", "at", "n")).alias("runs"))
+        own = rows.join(wanted, (rows.doc_id == F.col("of")) & (rows.th == F.col("of_th"))).select("doc_id", "th", "text", "runs")
+        return own.mapInArrow(lambda it: _content(it, width), "m bigint, doc_id bigint, th bigint, at int, content binary")
+
+    edges = content(kept.filter("not copy and not crowded")).repartition("m").sortWithinPartitions("m").mapInArrow(lambda it: _shards(it, width), SPANS)
+    crowds = kept.filter("not copy and crowded")
+    if not crowds.isEmpty():
+        windows = content(crowds).mapInArrow(lambda it: _windows(it, width), "w binary, doc_id bigint, th bigint, start bigint")
+        least = windows.groupBy("w").agg(F.min("doc_id").alias("lo"))
+        edges = edges.unionByName(windows.join(least, "w").filter("doc_id > lo").select("doc_id", "th", "start", F.lit(width).cast("bigint").alias("length")))
     edges = stored(edges, "edges")
     _release(spark)
     return copies.unionByName(edges)
@@ -250,17 +275,17 @@ def remaining(text: str | None, starts, lengths) -> tuple[bytes, int, int]:
     return kept, len(raw) - len(kept), spans
 
 
-def with_spans(docs: DataFrame, keep: list[str], width: int = WIDTH) -> DataFrame:
+def with_spans(docs: DataFrame, keep: list[str], width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """docs' columns `keep`, text, and arrays _starts and _lengths of what to remove (null where nothing)."""
-    spans = repeated_spans(docs, width).groupBy(F.col("doc_id").alias("_of"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
+    spans = repeated_spans(docs, width, crowd).groupBy(F.col("doc_id").alias("_of"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
     rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
     own = rows.join(spans, (rows.doc_id.cast("bigint") == spans._of) & (F.xxhash64(rows.text) == spans._th), "left")
     return own.select(*rows.columns, F.col("_spans.start").alias("_starts"), F.col("_spans.length").alias("_lengths"))
 
 
-def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def digest(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
-    found = with_spans(docs, ["doc_id"], width)
+    found = with_spans(docs, ["doc_id"], width, crowd)
 
     def run(batches):
         for whole in batches:
