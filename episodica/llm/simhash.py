@@ -112,7 +112,7 @@ def _links(batches, radius: int):
     for batch in batches:
         key = np.concatenate((key, batch.column("key").to_numpy(zero_copy_only=False)))
         fp = np.concatenate((fp, batch.column("fp").to_numpy(zero_copy_only=False)))
-        upto = int(np.searchsorted(key != key[-1], False)) if len(key) and key[0] == key[-1] else (len(key) - int(np.argmax(key[::-1] != key[-1])) if len(key) else 0)
+        upto = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key's run may go on
         if upto:
             yield from flush(upto)
             key, fp = key[upto:], fp[upto:]
