@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,6 +77,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
         end = min(n, max(end, start + 1))
         yield batch.slice(start, end - start)
         start = end
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and an executor holds several."""
+    pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
 
 
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHE = 1_000_000
+CACHE = 400_000
 #: Texts to encode whole: they may hold special tokens, control characters that Arrow takes for white space,
 #: or characters that lower-casing in advance might change otherwise than the tokenizer does.
 UNUSUAL = r"<\||[\x{1c}-\x{1f}\x{130}\x{250}-\x{10ffff}]"

@@ -36,7 +36,7 @@ LEVEL = 9
 FRAME = bytes(range(1, 32)) * 3
 CUT = 48
 STEPS = (1.0, 2.0, 3.0, 4.0, 5.0)
-CACHE = 1_000_000
+CACHE = 400_000
 _WORKER: dict[bytes, Lengths] = {}
 
 
