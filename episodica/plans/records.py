@@ -286,23 +286,30 @@ def merkle_root(spark, sf_dir):
 
 
 def ingest_conversations(spark, sf_dir):
-    """Conversations as records of which some break a rule or come twice; counts by status and rule."""
+    """Conversations as whole records of which some break a rule or come twice; counts by status and rule.
+
+    Those that break the schema end before they start, have no totals, or a negative number of steps used.
+    """
     first = t.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    number = F.col("conv_id") % 10
+    number, third = F.col("conv_id") % 10, F.floor(F.col("conv_id") / 10) % 3
+    four = lambda k: (number == 4) & (third == k)
+    turns = F.size("turns")
+    totals = F.struct((turns * 2).alias("output_tokens"), F.lit(0).alias("output_reasoning_tokens"), turns.alias("input_tokens"), F.lit(0).alias("input_cached_tokens"), turns.alias("turns"))
     tokens = F.expr("named_struct('input_total', 1L, 'input_cached', 0L, 'output_visible', 2L, 'output_tool_args', 0L, 'output_reasoning', 0L)")
     step = lambda s: F.struct((s["turn"] + F.when(number == 3, 1).otherwise(0)).alias("index"), F.struct(F.lit("message").alias("kind"), s["text"].alias("text")).alias("observation"), F.struct(F.lit("").alias("text")).alias("output"), F.struct(F.lit("noop").alias("kind")).alias("action"), tokens.alias("tokens"))
     record = F.to_json(
         F.struct(
             F.lit("trajectory/1.0").alias("schema_version"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("trajectory_id"), F.lit("body").alias("tenant_id"), F.lit("chat").alias("domain"), F.col("conv_id").cast("string").alias("task_id"), F.lit("unassigned").alias("split"),
-            F.lit(0).alias("seed"), F.lit("2026-01-01T00:00:00Z").alias("started_at"), F.when(number == 4, "2025-01-01T00:00:00Z").otherwise("2026-01-01T00:01:00Z").alias("ended_at"),
-            F.struct(F.lit("m").alias("model"), F.when(number == 5, "maybe").otherwise("think").alias("mode")).alias("actor"),
+            F.lit(0).alias("seed"), F.lit("2026-01-01T00:00:00Z").alias("started_at"), F.when(four(0), "2025-01-01T00:00:00Z").otherwise("2026-01-01T00:01:00Z").alias("ended_at"),
+            F.struct(F.lit("m").alias("model"), F.when(number == 5, "maybe").otherwise("think").alias("mode"), F.struct(F.lit(0.0).alias("temperature"), F.lit(1.0).alias("top_p")).alias("decoding")).alias("actor"),
             F.struct(F.lit("h").alias("name"), F.lit("1").alias("version"), F.when(number == 6, "none").otherwise(F.sha2(F.lit("p"), 256)).alias("system_prompt_sha256"), F.lit(9).alias("max_steps")).alias("harness"),
-            F.transform("turns", step).alias("steps"), F.struct(F.when(number != 7, 1.0).alias("reward"), F.lit(True).alias("success"), F.lit("done").alias("termination"), F.lit(1).alias("steps_used"), F.lit(False).alias("step_cap_hit")).alias("outcome"),
+            F.transform("turns", step).alias("steps"), F.struct(F.when(number != 7, 1.0).alias("reward"), F.lit(True).alias("success"), F.lit("done").alias("termination"), F.when(four(1), -1).otherwise(turns).alias("steps_used"), F.lit(False).alias("step_cap_hit")).alias("outcome"),
+            F.when(~four(2), totals).alias("totals"), F.struct(F.lit(False).alias("applied"), F.lit(redaction.POLICY_VERSION).alias("policy_version")).alias("redaction"),
             F.struct(F.lit("t").alias("source"), F.sha2(F.lit("x"), 256).alias("content_sha256")).alias("provenance"),
         )
     )
     rows = first.select(F.lit("tenant").alias("tenant_id"), F.when(number == 8, "other").otherwise("harness_run").alias("source_format"), F.when(number == 9, F.substring(record, 1, 50)).otherwise(record).alias("raw"), F.col("conv_id").alias("position"))
-    results = batch.ingest(rows.union(rows.filter("position % 20 = 0").withColumn("position", F.col("position") + 1_000_000)))
+    results = batch.ingest(rows.union(rows.filter("position % 20 = 0").withColumn("position", F.col("position") + 1_000_000)), whole=True)
     return results.groupBy("status", F.coalesce("rule", F.lit("-")).alias("rule")).agg(F.count(F.lit(1)).alias("n"))
 
 

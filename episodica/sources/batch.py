@@ -11,14 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import ACTION_KINDS, MODES, SCHEMA_DDL, SPLITS, TOKEN_KEYS, TOP_LEVEL
+from ..schema import ACTION_KINDS, MODES, SCHEMA_DDL, SPLITS, TOKEN_KEYS, TOP_LEVEL, VERSION
 
 MAX_BATCH_BYTES = 32 * 1024 * 1024
 MAX_BATCH_RECORDS = 1000
 MAX_RECORD_BYTES = 8 * 1024 * 1024
 #: In order of the damage a silent repair would do.
 SEVERITY = ("reward_present", "step_contiguity", "token_keys_present", "actor_mode_valid", "system_prompt_hash_present", "schema_invalid")
-HEX64 = "^[0-9a-f]{64}$"
+HEX64 = r"^[0-9a-f]{64}\z"
 
 #: From a parsed record to its warnings, an array<string> column.
 Mapper = Callable[[Column], Column]
@@ -107,33 +107,66 @@ def _is(kind: Column, wanted: str) -> Column:
     return tests[wanted]
 
 
-#: path, kind; a '?' after the kind allows null and missing.
+#: path, kind; a '?' after the kind allows null and missing, '!' missing only, '*' null only. Fields of a missing or null object aren't looked at.
 TOP_FIELDS = (
-    ("trajectory_id", "string"), ("tenant_id", "string"), ("domain", "string"), ("task_id", "string"), ("split", "string"), ("seed", "int"), ("started_at", "string"), ("ended_at", "string"),
-    ("actor", "object"), ("actor.model", "string"), ("harness", "object"), ("harness.name", "string"), ("harness.version", "string"), ("harness.max_steps", "int"), ("harness.tools_sha256", "string?"),
-    ("steps", "array"), ("outcome", "object"), ("outcome.success", "bool"), ("outcome.termination", "string"), ("outcome.steps_used", "int"), ("outcome.step_cap_hit", "bool"),
-    ("provenance", "object"), ("provenance.source", "string"),
+    ("schema_version", "string!"), ("trajectory_id", "string"), ("tenant_id", "string"), ("domain", "string"), ("task_id", "string"), ("split", "string"), ("seed", "int"), ("started_at", "string"), ("ended_at", "string"),
+    ("actor", "object"), ("actor.model", "string"), ("actor.mode_flag", "object!"), ("harness", "object"), ("harness.name", "string"), ("harness.version", "string"), ("harness.max_steps", "int"), ("harness.tools_sha256", "sha256?"),
+    ("harness.user_simulator", "object?"), ("steps", "array"), ("outcome", "object"), ("outcome.success", "bool"), ("outcome.termination", "string"), ("outcome.steps_used", "count"), ("outcome.step_cap_hit", "bool"),
+    ("labels", "object!"), ("labels.error_types", "strings!"), ("labels.stall_runs", "array!"), ("labels.annotator", "string?"), ("provenance", "object"), ("provenance.source", "string"), ("provenance.source_run_id", "string?"),
+    ("provenance.content_sha256", "sha256"), ("normalization_warnings", "strings!"),
 )
+#: Objects whose fields are held to their kinds wherever the object is there.
+PARTS = {
+    "harness.user_simulator": (("model", "string"), ("version", "string")),
+    "actor.decoding": (("temperature", "number"), ("top_p", "number"), ("max_tokens", "int?")),
+    "totals": (("output_tokens", "count*"), ("output_reasoning_tokens", "count*"), ("input_tokens", "count*"), ("input_cached_tokens", "count*"), ("turns", "count"), ("cost_usd", "number?")),
+    "redaction": (("applied", "bool"), ("policy_version", "string"), ("counts", "ints!")),
+}
+#: Of these objects the reference wants every one.
+WHOLE = ("actor.decoding", "totals", "redaction")
 STEP_FIELDS = (
-    ("index", "int"), ("observation", "object"), ("observation.kind", "string"), ("observation.text", "string"), ("output", "object"), ("output.text", "string"), ("action", "object"), ("action.kind", "string"),
-    ("action.name", "string?"), ("action.text", "string?"), ("result", "object?"), ("latency_ms", "int?"), ("cost_usd", "number?"),
+    ("index", "count"), ("observation", "object"), ("observation.kind", "string"), ("observation.text", "string"), ("observation.meta", "object!"), ("output", "object"), ("output.text", "string"), ("output.reasoning_text", "string?"),
+    ("output.reasoning_token_count", "count?"), ("action", "object"), ("action.kind", "string"), ("action.name", "string?"), ("action.arguments", "object?"), ("action.arguments_raw", "string?"), ("action.text", "string?"), ("action.canonical", "string?"),
+    ("result", "object?"), ("result.error_type", "string?"), ("result.text", "string?"), ("latency_ms", "count?"), ("cost_usd", "number?"),
 )
+STALL_FIELDS = (("start", "count"), ("end", "count"), ("action", "string"), ("length", "count"), ("period", "int?"))
 #: Known keys of nested objects; others are an error.
 NESTED = {
     "actor": ("model", "mode", "mode_flag", "decoding"), "harness": ("name", "version", "system_prompt_sha256", "tools_sha256", "max_steps", "user_simulator"),
-    "outcome": ("reward", "success", "termination", "steps_used", "step_cap_hit"), "provenance": ("source", "source_run_id", "content_sha256"), "labels": ("error_types", "stall_runs", "annotator"), "redaction": ("applied", "policy_version", "counts"),
+    "outcome": ("reward", "success", "termination", "steps_used", "step_cap_hit"), "provenance": ("source", "source_run_id", "content_sha256"), "labels": ("error_types", "stall_runs", "annotator"),
+    **{path: tuple(k for k, _ in fields) for path, fields in PARTS.items()},
 }
 STEP_KEYS = ("index", "observation", "output", "action", "result", "tokens", "latency_ms", "cost_usd")
+STEP_NESTED = {
+    "observation": ("kind", "text", "meta"), "output": ("text", "reasoning_text", "reasoning_token_count"), "action": ("kind", "name", "arguments", "arguments_raw", "text", "canonical"), "result": ("status", "error_type", "text"),
+}
 
 
 def _broken(v: Column, path: str, kind: str) -> Column:
-    found, optional = _type(v, "$." + path), kind.endswith("?")
-    ok = _is(found, kind.rstrip("?"))
-    return ~(ok | found.isin("VOID", "MISSING")) if optional else ~ok
+    found, wanted = _type(v, "$." + path), kind.rstrip("?!*")
+    ok = _is(found, {"count": "int", "sha256": "string", "strings": "array", "ints": "object"}.get(wanted, wanted))
+    if wanted == "count":
+        ok &= F.try_variant_get(v, "$." + path, "bigint") >= 0
+    elif wanted == "sha256":
+        ok &= F.try_variant_get(v, "$." + path, "string").rlike(HEX64)
+    elif wanted == "strings":
+        ok &= F.forall(F.try_variant_get(v, "$." + path, "array<variant>"), lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
+    elif wanted == "ints":
+        ok &= F.forall(F.map_values(F.try_variant_get(v, "$." + path, "map<string, variant>")), lambda x: F.coalesce(_is(F.schema_of_variant(x), "whole"), F.lit(False)))
+    also = {"?": ("VOID", "MISSING"), "!": ("MISSING",), "*": ("VOID",)}.get(kind[-1], ())
+    return ~(F.coalesce(ok, F.lit(False)) | found.isin(*also)) if also else ~F.coalesce(ok, F.lit(False))
+
 
+def _extra(v: Column, path: str, known: tuple) -> Column:
+    return F.size(F.array_except(keys(v, path), F.array(*map(F.lit, known)))) > 0
 
-def violations(v: Column) -> Column:
-    """array<struct(severity, rule, field)> of every broken rule of a parsed record."""
+
+def violations(v: Column, whole: bool = False) -> Column:
+    """array<struct(severity, rule, field)> of every broken rule of a parsed record.
+
+    whole: a record without one of the objects in WHOLE breaks the schema, as in the reference; otherwise only
+    those that are there are checked.
+    """
     def rule(name: str, field: str, broken: Column) -> Column:
         return F.when(F.coalesce(broken, F.lit(True)), F.struct(F.lit(SEVERITY.index(name)).alias("severity"), F.lit(name).alias("rule"), F.lit(field).alias("field")))
 
@@ -143,17 +176,25 @@ def violations(v: Column) -> Column:
     reward = F.try_variant_get(v, "$.outcome.reward", "double")
     token = lambda s, k: _type(s, f"$.tokens.{k}")
     token_ok = lambda s: reduce(lambda a, b: a & b, [(token(s, k) == "VOID") | ((token(s, k) == "BIGINT") & (F.try_variant_get(s, f"$.tokens.{k}", "bigint") >= 0)) for k in TOKEN_KEYS])
-    extra_token = lambda s: F.size(F.array_except(keys(s, "$.tokens"), F.array(*map(F.lit, TOKEN_KEYS)))) > 0
-    step_bad = lambda s: reduce(lambda a, b: a | b, [_broken(s, p, k) for p, k in STEP_FIELDS]) | (F.size(F.array_except(keys(s), F.array(*map(F.lit, STEP_KEYS)))) > 0) | ~F.coalesce(F.try_variant_get(s, "$.action.kind", "string").isin(*ACTION_KINDS), F.lit(False))
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+    there = lambda v, path: _type(v, f"$.{path}").startswith("OBJECT")
+    step_extra = lambda s: any_of([_extra(s, "$", STEP_KEYS), *[_extra(s, f"$.{k}", known) for k, known in STEP_NESTED.items()]])
+    step_bad = lambda s: any_of([_broken(s, p, k) for p, k in STEP_FIELDS]) | step_extra(s) | (there(s, "result") & _broken(s, "result.status", "string")) | ~F.coalesce(F.try_variant_get(s, "$.action.kind", "string").isin(*ACTION_KINDS), F.lit(False))
+    stalls = F.coalesce(F.try_variant_get(v, "$.labels.stall_runs", "array<variant>"), F.array().cast("array<variant>"))
+    stall_bad = lambda s: any_of([_broken(s, p, k) for p, k in STALL_FIELDS]) | _extra(s, "$", tuple(k for k, _ in STALL_FIELDS))
     start, end = (F.try_variant_get(v, f"$.{k}", "string").try_cast("timestamp") for k in ("started_at", "ended_at"))
     found = [
         rule("reward_present", "outcome.reward", ~_is(_type(v, "$.outcome.reward"), "number") | reward.isNull() | F.isnan(reward)),
         rule("step_contiguity", "steps", ~contiguous),
-        rule("token_keys_present", "steps.tokens", ~F.forall(steps, lambda s: token_ok(s) & ~extra_token(s))),
+        rule("token_keys_present", "steps.tokens", ~F.forall(steps, lambda s: token_ok(s) & ~_extra(s, "$.tokens", TOKEN_KEYS))),
         rule("actor_mode_valid", "actor.mode", ~F.coalesce(F.try_variant_get(v, "$.actor.mode", "string").isin(*MODES), F.lit(False))),
         rule("system_prompt_hash_present", "harness.system_prompt_sha256", ~F.coalesce(F.try_variant_get(v, "$.harness.system_prompt_sha256", "string").rlike(HEX64), F.lit(False))),
         *[rule("schema_invalid", p, _broken(v, p, k)) for p, k in TOP_FIELDS],
-        *[rule("schema_invalid", k, F.size(F.array_except(keys(v, f"$.{k}"), F.array(*map(F.lit, known)))) > 0) for k, known in NESTED.items()],
+        *[rule("schema_invalid", path, _broken(v, path, "object" if whole else "object!")) for path in WHOLE],
+        *[rule("schema_invalid", f"{path}.{p}", there(v, path) & _broken(v, f"{path}.{p}", k)) for path, fields in PARTS.items() for p, k in fields],
+        *[rule("schema_invalid", k, _extra(v, f"$.{k}", known)) for k, known in NESTED.items()],
+        rule("schema_invalid", "schema_version", F.coalesce(F.try_variant_get(v, "$.schema_version", "string"), F.lit(VERSION)) != VERSION),
+        rule("schema_invalid", "labels.stall_runs", F.exists(stalls, lambda s: F.coalesce(stall_bad(s), F.lit(True)))),
         rule("schema_invalid", "split", ~F.coalesce(F.try_variant_get(v, "$.split", "string").isin(*SPLITS), F.lit(False))),
         rule("schema_invalid", "steps", F.exists(steps, lambda s: F.coalesce(step_bad(s), F.lit(True)))),
         rule("schema_invalid", "ended_at", start.isNull() | end.isNull() | (end < start)),
@@ -161,11 +202,11 @@ def violations(v: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
-def normalize(rows: DataFrame, splits: DataFrame | None = None, max_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
+def normalize(rows: DataFrame, splits: DataFrame | None = None, max_bytes: int = MAX_RECORD_BYTES, whole: bool = False) -> DataFrame:
     """rows (tenant_id, source_format, raw) with v (the parsed record), warnings, rule, detail and field_path; rule is null for a sound record.
 
     Nothing is repaired: what breaks several rules names the worst, with up to five in the detail. splits
-    (task_id, split) must agree with the record's own split; tasks it doesn't hold are admitted.
+    (task_id, split) must agree with the record's own split; tasks it doesn't hold are admitted. whole: see `violations`.
     """
     parsed = rows.withColumn("v", F.try_parse_json("raw"))
     warnings = F.array().cast("array<string>")
@@ -174,7 +215,7 @@ def normalize(rows: DataFrame, splits: DataFrame | None = None, max_bytes: int =
     mapped = parsed.withColumn("warnings", warnings)
     known = F.coalesce(F.col("source_format").isin(*_MAPPERS), F.lit(False))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    checked = mapped.withColumn("broken", F.when(known & is_object, violations(F.col("v"))))
+    checked = mapped.withColumn("broken", F.when(known & is_object, violations(F.col("v"), whole)))
     worst = F.try_element_at("broken", F.lit(1))
     listed = F.array_join(F.transform(F.slice("broken", 1, 5), lambda b: F.concat(b["field"], F.lit(": "), b["rule"])), "; ")
     rule = (
@@ -189,14 +230,14 @@ def normalize(rows: DataFrame, splits: DataFrame | None = None, max_bytes: int =
     return joined.withColumns({"rule": F.when(differs, "split_matches_artifact").otherwise(F.col("rule")), "field_path": F.when(differs, "split").otherwise(F.col("field_path")), "detail": F.when(differs, F.concat(F.lit("the split artifact says "), "_split")).otherwise(F.col("detail"))}).drop("_task", "_split")
 
 
-def ingest(rows: DataFrame, store: DataFrame | None = None, splits: DataFrame | None = None, hashed: Callable[[Column], Column] = canonical_hash) -> DataFrame:
+def ingest(rows: DataFrame, store: DataFrame | None = None, splits: DataFrame | None = None, hashed: Callable[[Column], Column] = canonical_hash, whole: bool = False) -> DataFrame:
     """rows with content_sha256, domain and status: accepted, duplicate or quarantined.
 
     store: (tenant_id, domain, content_sha256) of records accepted before; only those count for duplicates, besides
-    earlier sound copies in the batch. Quarantined records are never duplicates.
+    earlier sound copies in the batch. Quarantined records are never duplicates. whole: see `violations`.
     """
     with_hash = rows.withColumn("content_sha256", hashed(F.col("raw")))
-    out = normalize(with_hash, splits).withColumn("domain", F.coalesce(F.try_variant_get("v", "$.domain", "string"), F.lit("unknown")))
+    out = normalize(with_hash, splits, whole=whole).withColumn("domain", F.coalesce(F.try_variant_get("v", "$.domain", "string"), F.lit("unknown")))
     key = ["tenant_id", "domain", "content_sha256"]
     if store is not None:
         out = out.join(store.select(*key).distinct().withColumn("_held", F.lit(True)), key, "left")
