@@ -1,8 +1,10 @@
 """Operator 6, language identification by nearest centroid.
 
 Byte trigrams of the lower-cased text, weighted by TF-IDF and scaled to unit length, are compared by
-cosine with several centroids per language (spherical k-means within each language). A text whose best
-cosine lies under a distance threshold is rejected.
+cosine with several centroids per language (spherical k-means within each language). Trigrams that are no
+feature count in a text's length with the weight of the rarest feature, so they lower its score. A text whose
+score lies under a threshold is rejected. Thresholds go by language and number of different trigrams, since short
+texts score low: a part of a low quantile of the scores of the language's training rows and pieces of them.
 
 The model is fitted on at most ``per_lang`` rows of each language, those with the smallest hash of id and
 text; this bound is a parameter. Every document is scored, over its whole text.
@@ -15,6 +17,7 @@ a null lang teaches nothing; with no training rows every text is ``und``; repeat
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +29,7 @@ from .common import held_out, slices, text_bytes
 
 UNKNOWN = "und"
 SPACE = 1 << 21  # hash space of trigrams
+SIZES = 18  # classes of numbers of trigrams, by powers of two
 LETTER = re.compile(r"[^\W\d_]")
 #: A-Z to lower case; every other ASCII byte but a-z to a space, so marks and digits only end words.
 FOLD = np.arange(256, dtype=np.uint32)
@@ -35,14 +39,14 @@ FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 @dataclass
 class LanguageModel:
-    """slot: trigram hash to feature (-1: none); idf by feature; centroids as rows; their languages; least cosine kept."""
+    """slot: trigram hash to feature (-1: none); idf by feature; centroids as rows; their languages; least score kept, by language and binary logarithm of the number of different trigrams."""
 
     slot: np.ndarray
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
     names: list[str]
-    least: float
+    least: np.ndarray
 
 
 def trigram_codes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,26 +72,67 @@ def trigram_codes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return code[inside], row[:-2][inside]
 
 
-def vectors(model_slot: np.ndarray, idf: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows (float32); a text with no known trigram stays all zero."""
-    n, width = len(offsets) - 1, len(idf)
-    code, row = trigram_codes(raw, offsets)
-    feature = model_slot[code]
+def weighted(slot: np.ndarray, idf: np.ndarray, code: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit TF-IDF rows over the features (float32; all zero with no known trigram), the features' share in each row's whole length, and its number of different trigrams."""
+    width = len(idf)
+    feature = slot[code]
     known = feature >= 0
     counts = np.bincount(row[known].astype(np.int64) * width + feature[known], minlength=n * width).reshape(n, width)
     x = np.log1p(counts).astype(np.float32) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    other, times = np.unique(row[~known].astype(np.int64) * SPACE + code[~known], return_counts=True)
+    rest = np.bincount(other // SPACE, (np.log1p(times) * idf.max()) ** 2, minlength=n)
+    share = length[:, 0] / np.maximum(np.sqrt(length[:, 0].astype(float) ** 2 + rest), 1e-12)
+    return x / np.maximum(length, 1e-12), share, (counts > 0).sum(axis=1) + np.bincount(other // SPACE, minlength=n)
+
+
+def vectors(model_slot: np.ndarray, idf: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF rows (float32); a text with no known trigram stays all zero."""
+    return weighted(model_slot, idf, *trigram_codes(raw, offsets), len(offsets) - 1)[0]
+
+
+def size_class(number: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(number, 1)).astype(int), SIZES - 1)
+
+
+def thresholds(texts: list[str], score: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]], low: float, slack: float) -> np.ndarray:
+    """Least score kept of a language's texts, by size class.
+
+    Besides the rows, pieces of 1, 2, 4 and so on trigrams are cut evenly from the rows put one after another. Of
+    each class the lower quantile of rows and pieces counts, if 20 or more are there; other classes are as the one before.
+    """
+    most = max(256, (1 << 21) // max(1, len(texts)))
+    parts, rows, pieces = [], [], []
+    for i in range(0, len(texts), 64):
+        code, row = trigram_codes(*_rows(texts[i : i + 64]))
+        rows.append(score(code, row, len(texts[i : i + 64])))
+        parts.append(code[np.arange(len(code)) - np.searchsorted(row, row) < most])
+    stream = np.concatenate(parts)
+    size = 1
+    while len(stream) >= 4 * size:
+        n = int(np.clip((1 << 20) // size, 16, 400))
+        starts = np.linspace(0, len(stream) - size, n).astype(int)
+        for i in range(0, n, 64):
+            at = starts[i : i + 64]
+            pieces.append(score(stream[at[:, None] + np.arange(size)].ravel(), np.repeat(np.arange(len(at), dtype=np.int32), size), len(at)))
+        size *= 2
+    pools = [(np.concatenate([s for s, _ in x]), size_class(np.concatenate([k for _, k in x]))) for x in (rows, pieces) if x]
+    least = np.zeros(SIZES)
+    for c in range(SIZES):
+        cuts = [np.quantile(s[k == c], low) for s, k in pools if (k == c).sum() >= 20]
+        least[c] = slack * min(cuts) if cuts else (least[c - 1] if c else 0.0)
+    return least
 
 
 def _rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pa.array(texts, pa.string()))
 
 
-def fit(texts: list[str], langs: list[str], features: int = 4096, per_language: int = 4, rounds: int = 8, slack: float = 0.25) -> LanguageModel:
-    """Fit on the given rows. slack: share of the lowest training cosine below which a text is rejected."""
+def fit(texts: list[str], langs: list[str], features: int = 4096, per_language: int = 4, rounds: int = 8, low: float = 0.01, slack: float = 0.5) -> LanguageModel:
+    """Fit on the given rows. A text is rejected below slack times the quantile low of scores of its language and size."""
     names = sorted(set(langs))
     if not names:
-        return LanguageModel(np.full(SPACE, -1, np.int32), np.ones(1, np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.int64), [], 1.0)
+        return LanguageModel(np.full(SPACE, -1, np.int32), np.ones(1, np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.int64), [], np.ones((0, SIZES)))
     present = np.zeros(SPACE, np.int64)
     for i in range(0, len(texts), 64):
         code, row = trigram_codes(*_rows(texts[i : i + 64]))
@@ -115,25 +160,34 @@ def fit(texts: list[str], langs: list[str], features: int = 4096, per_language:
         centroids.append(c)
         owner += [k] * len(c)
     centroids = np.concatenate(centroids).astype(np.float32)
-    best = (x @ centroids.T).max(axis=1)
-    return LanguageModel(slot, idf, centroids, np.array(owner), names, float(slack * best[best > 0].min()) if (best > 0).any() else 0.0)
+
+    def score(code: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        v, share, number = weighted(slot, idf, code, row, n)
+        return (v @ own.T).max(axis=1) * share, number
+
+    least = []
+    for k in range(len(names)):
+        own = centroids[np.array(owner) == k]
+        least.append(thresholds([t for t, v in zip(texts, lang_of) if v == k], score, low, slack))
+    return LanguageModel(slot, idf, centroids, np.array(owner), names, np.array(least))
 
 
 def predict(model: LanguageModel, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, cosine and whether it was rejected, for each text."""
+    """Language, score and whether it was rejected, for each text."""
     raw, offsets = text_bytes(column)
     n = len(offsets) - 1
     letters = np.array([v is not None and LETTER.search(v) is not None for v in column.to_pylist()], bool)
     if not model.names or not n:
         return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-    cosine = np.zeros((n, len(model.owner)), np.float32)
+    cosine, share, number = np.zeros((n, len(model.owner)), np.float32), np.zeros(n), np.zeros(n, np.int64)
     for i in range(0, n, 256):
         part = offsets[i : i + 257]
-        cosine[i : i + 256] = vectors(model.slot, model.idf, raw[part[0] : part[-1]], part - part[0]) @ model.centroids.T
+        x, share[i : i + 256], number[i : i + 256] = weighted(model.slot, model.idf, *trigram_codes(raw[part[0] : part[-1]], part - part[0]), len(part) - 1)
+        cosine[i : i + 256] = x @ model.centroids.T
     at = cosine.argmax(axis=1)
-    score = np.clip(cosine[np.arange(n), at].astype(float), 0, 1)
+    score = np.clip(cosine[np.arange(n), at] * share, 0, 1)
     names = [model.names[model.owner[j]] if ok else UNKNOWN for j, ok in zip(at, letters)]
-    return names, np.where(letters, score, 0.0), ~letters | (score < model.least)
+    return names, np.where(letters, score, 0.0), ~letters | (score <= 0) | (score < model.least[model.owner[at], size_class(number)])
 
 
 def train(docs: DataFrame, folds: int = 5, rest: int = 0, per_lang: int = 400) -> LanguageModel:
