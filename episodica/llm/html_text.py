@@ -4,7 +4,8 @@ A tree builder with implied tags (paragraphs closed by blocks, list items, table
 feeds a renderer that emits all visible text: blocks on lines of their own with blank lines where a browser leaves a margin,
 lists with bullets or numbers and indents, preformatted text as it stands, and table cells in aligned columns.
 Hidden are scripts, styles, the head, templates, embedded content and its fallbacks, and elements with the hidden attribute or a style of
-display:none or visibility:hidden.
+display:none or visibility:hidden. Texts of svg and math show but for titles, descriptions, definitions and annotations. What stands in a table
+outside its cells comes before the table, as in browsers.
 
 Defined results: null or empty html gives an empty text; broken markup is read as browsers do, never refused; elements
 nested deeper than ``DEPTH`` become siblings; repeated rows get equal texts. A table column wider than
@@ -25,7 +26,11 @@ DEPTH = 256
 WIDE = 60
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object video audio canvas svg math datalist".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object video audio canvas datalist".split())
+#: Not rendered inside svg or math; outside they are like any unknown element.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient annotation annotation-xml".split())
+#: Inside svg or math, what holds HTML again.
+HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 #: Elements with a blank line around them, and with a line of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address li dt dd tr caption form details summary figcaption legend option optgroup select thead tbody tfoot td th center dir search hgroup".split())
@@ -88,6 +93,14 @@ def parse(html: str) -> Node:
             if stack[k].tag in until:
                 return
 
+    def foreign() -> bool:
+        for open_node in reversed(stack):
+            if open_node.tag in ("svg", "math"):
+                return True
+            if open_node.tag in HTML_AGAIN:
+                return False
+        return False
+
     at, end = 0, len(html)
     while at < end:
         m = MARKUP.search(html, at)
@@ -127,6 +140,10 @@ def parse(html: str) -> Node:
             stack.append(row)
         node = Node(tag, attributes(m[3]) if m[3].strip() else None)
         stack[-1].children.append(node)
+        if tag in UNDRAWN and foreign():
+            node.attributes["hidden"] = ""
+        if m[3].endswith("/") and (tag in ("svg", "math") or foreign()):
+            continue
         if tag in RAW:
             stop = RAW_END[tag].search(html, at)
             body = html[at : stop.start() if stop else end]
@@ -202,7 +219,12 @@ def render(node: Node, page: Page, pre: bool = False) -> None:
         if hidden(child):
             continue
         if tag not in BLOCK:
+            apart = tag == "text" and node.tag in ("svg", "g")
+            if apart:
+                page.write(" ", False)
             render(child, page, pre or tag in ("textarea", "xmp"))
+            if apart:
+                page.write(" ", False)
             continue
         if tag == "table":
             page.space()
@@ -227,30 +249,53 @@ def render(node: Node, page: Page, pre: bool = False) -> None:
             page.mark = mark
 
 
-def rows_of(node: Node):
+def collect(node: Node, rows: list[list[Node]], captions: list[Node], loose: list, row: list[Node] | None = None) -> None:
+    """Cells by row, captions, and what stands outside of both in a table, its sections, rows and forms.
+
+    A form in a table is empty for browsers, so what lies in it is the table's; text of hidden rows moves out and shows.
+    """
     for child in node.children:
-        if isinstance(child, str) or hidden(child):
+        if isinstance(child, str):
+            if child.strip() or loose:
+                loose.append(child)
             continue
-        if child.tag == "tr":
-            yield child
-        elif child.tag in ("thead", "tbody", "tfoot", "form"):
-            yield from rows_of(child)
+        tag = child.tag
+        if tag in ("form", "colgroup"):
+            collect(child, rows, captions, loose, row)
+        elif tag in ("thead", "tbody", "tfoot"):
+            collect(child, [] if hidden(child) else rows, [] if hidden(child) else captions, loose)
+        elif tag == "tr":
+            own: list[Node] = []
+            if not hidden(child):
+                rows.append(own)
+            collect(child, rows, captions, loose, own)
+        elif hidden(child) or tag == "col":
+            continue
+        elif tag in ("td", "th"):
+            if row is None:
+                row = []
+                rows.append(row)
+            row.append(child)
+        elif tag == "caption":
+            captions.append(child)
+        else:
+            loose.append(child)
+        if loose and tag in ("form", "thead", "tbody", "tfoot", "tr"):
+            loose.append(" ")
 
 
 def table(node: Node) -> list[str]:
-    grid, out = [], []
-    for child in node.children:
-        if not isinstance(child, str) and child.tag == "caption" and not hidden(child):
-            out += lines_of(child)
+    grid: list[list[tuple[int, list[str]]]] = []
+    rows: list[list[Node]] = []
+    captions: list[Node] = []
     loose = Node("div")
-    loose.children = [c for c in node.children if (c.strip() if isinstance(c, str) else c.tag not in TABLE_PARTS | {"form", "col", "colgroup"})]
-    if loose.children:
-        out = lines_of(loose) + out
-    for row in rows_of(node):
+    collect(node, rows, captions, loose.children)
+    out = lines_of(loose)
+    for caption in captions:
+        out += lines_of(caption)
+    for row in rows:
         cells, column = [], 0
-        for cell in row.children:
-            if isinstance(cell, str) or hidden(cell):
-                continue
+        for cell in row:
             cells.append((column, lines_of(cell) or [""]))
             column += max(1, min(1000, _number(cell.attributes.get("colspan"), 1)))
         if cells:
