@@ -56,6 +56,21 @@ def redact_spans(spark, sf_dir):
     return redact.text_spans(docs).select(F.col("episode").alias("doc_id"), "start", "end", "cls", "value")
 
 
+def _source_spans(spark, sf_dir):
+    """A source's documents are one episode; all detectors over the texts as they are, overlaps resolved."""
+    return redact.text_spans(t.table(spark, sf_dir, "documents").select(F.col("source").alias("episode"), F.col("doc_id").alias("ord"), "text"))
+
+
+def placeholder_index_all(spark, sf_dir):
+    """Numbers of all values by class; placeholder_index has the part of it that SQL can follow."""
+    return redact.placeholder_index(_source_spans(spark, sf_dir)).withColumnRenamed("episode", "source")
+
+
+def redact_counts_all(spark, sf_dir):
+    """Counts of all classes; redact_counts has the part of it that SQL can follow."""
+    return redact.redaction_counts(_source_spans(spark, sf_dir)).withColumnRenamed("episode", "source")
+
+
 def redact_documents(spark, sf_dir):
     docs = t.table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.sha2(redaction.redact_text(F.col("text")), 256).alias("sha256"))
@@ -319,7 +334,7 @@ union all select 'duplicate', '-', count(*) from c where conv_id % 20 = 0 having
 
 QUERIES = {
     "redact_spans_email": _matches(redaction.EMAIL), "redact_spans_card": _matches(redaction.CREDIT_CARD), "redact_spans_phone": _matches(redaction.PHONE), "redact_spans": redact_spans, "redact_documents": redact_documents, "redact_conversations": redact_conversations,
-    "placeholder_index": placeholder_index, "redact_counts": redact_counts, "classify_email": classify_email, "observation_normalize": observation_normalize, "canonical_text": canonical_text, "code_symbols": code_symbols, "tool_symbols": tool_symbols, "props_validate": props_validate,
+    "placeholder_index": placeholder_index, "redact_counts": redact_counts, "placeholder_index_all": placeholder_index_all, "redact_counts_all": redact_counts_all, "classify_email": classify_email, "observation_normalize": observation_normalize, "canonical_text": canonical_text, "code_symbols": code_symbols, "tool_symbols": tool_symbols, "props_validate": props_validate,
     "dedup_content": dedup_content, "duplicate_rate": duplicate_rate, "step_contiguity": step_contiguity, "quality_report": quality_report, "token_completeness": token_completeness, "split_hash_assign": split_hash_assign, "split_disjoint": split_disjoint, "corpus_eligible": corpus_eligible,
     "corpus_pass_rates": corpus_pass_rates, "corpus_contamination": corpus_contamination, "task_outcome": task_outcome, "sample_random_n": _sampled(corpus.sample_random, 40), "sample_stratified": _sampled(corpus.sample_stratified, 40), "sample_failure_weighted": _sampled(corpus.sample_failure_weighted, 40),
     "merkle_root": merkle_root, "ingest_conversations": ingest_conversations,
