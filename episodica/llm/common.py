@@ -68,7 +68,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, (offsets - offsets[0]) if len(offsets) else np.zeros(1, np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     """Cut a batch into runs of rows of about `limit` text bytes, one row at least."""
     _, offsets = text_bytes(batch.column(column))
     start, n = 0, batch.num_rows
@@ -93,11 +93,32 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def private(columns: list[str], *stems: str) -> list[str]:
+    """Names for an operator's own columns that none of the input's has; Spark ignores case."""
+    taken, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def of_ids(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """picked's rows with a text each: the least one of the documents of its doc_id. Ids without a text are left out.
+
+    picked is broadcast, so its size must be bounded by a parameter of the caller; no other text is shuffled.
+    """
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy(*picked.columns).agg(F.min("text").alias("text"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, rest: int, limit: int) -> DataFrame:
-    """(doc_id, text, label) of at most `limit` label rows outside the held-out fold, least hash of the id first.
+    """(doc_id, label, text) of at most `limit` label rows outside the held-out fold, least hash of the id first.
 
-    The picked label rows are broadcast, which `limit` bounds, so no text is shuffled. Rows with a null id,
-    text or label teach nothing.
+    Ids are picked first, then their texts are fetched; of several documents of one id the least text counts.
+    Rows with a null id, text or label teach nothing.
     """
     picked = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -105,4 +126,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    return of_ids(docs, picked.distinct())

@@ -6,12 +6,13 @@ feature count in a text's length with the weight of the rarest feature, so they
 score lies under a threshold is rejected. Thresholds go by language and number of different trigrams, since short
 texts score low: a part of a low quantile of the scores of the language's training rows and pieces of them.
 
-The model is fitted on at most ``per_lang`` rows of each language, those with the smallest hash of id and
-text; this bound is a parameter. Every document is scored, over its whole text.
+The model is fitted on at most ``per_lang`` documents of each language, those with the smallest hash of id and
+language; this bound is a parameter. Every document is scored, over its whole text.
 
 Defined results: null text, or text without any letter, gives ``und`` with score 0 and is rejected;
-a null lang teaches nothing; with no training rows every text is ``und``; repeated rows each get their own
-(equal) result; ties between languages go to the smaller name. Other columns are ignored.
+a null lang or id teaches nothing; of several documents of one id and language the least text teaches; with no training rows, as
+with an empty table, every text is ``und``; repeated rows each get their own (equal) result; ties between languages go to the smaller
+name; very long texts are counted whole. Other columns pass through, but for those named like the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import held_out, slices, text_bytes
+from .common import held_out, private, read_table, slices, text_bytes
 
 UNKNOWN = "und"
 SPACE = 1 << 21  # hash space of trigrams
@@ -190,43 +192,70 @@ def predict(model: LanguageModel, column: pa.Array) -> tuple[list[str], np.ndarr
     return names, np.where(letters, score, 0.0), ~letters | (score <= 0) | (score < model.least[model.owner[at], size_class(number)])
 
 
+def sampled(docs: DataFrame, folds: int, rest: int, per_lang: int) -> DataFrame:
+    """(doc_id, lang, text) of at most per_lang documents of each language outside the held-out fold.
+
+    Those with the least hash of id and language. The hash is cut at about twice the wanted share of a language's ids, so that
+    only a bounded number of ids of each language, and no text, is gathered before the texts are fetched.
+    """
+    spark = docs.sparkSession
+    rows = docs.filter(~held_out("doc_id", folds, rest) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "lang"), 11).cast("double") / float(1 << 53)
+    ids = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
+    cuts = spark.createDataFrame([(lang, min(1.0, (2 * per_lang + 50) / n)) for lang, n in sorted(ids.items())], "lang string, cut double")
+    near = rows.withColumn("u", u).join(F.broadcast(cuts), "lang").filter("u <= cut").select("lang", "u", "doc_id").distinct().collect()
+    least: dict[str, list] = {}
+    for r in sorted((r["lang"], r["u"], r["doc_id"]) for r in near):
+        least.setdefault(r[0], []).append((r[2], r[0]))
+    picked = [pair for own in least.values() for pair in own[:per_lang]]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    mine, its = private(["doc_id", "lang"], "picked_id", "picked_lang")
+    wanted = spark.createDataFrame(picked, f"{mine} {kind}, {its} string")
+    found = docs.select("doc_id", "lang", "text").join(F.broadcast(wanted), (F.col("doc_id") == F.col(mine)) & (F.col("lang") == F.col(its)))
+    return found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+
 def train(docs: DataFrame, folds: int = 5, rest: int = 0, per_lang: int = 400) -> LanguageModel:
     """Fit from documents outside the held-out fold; at most per_lang rows of each language reach the driver."""
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    rows = (
-        docs.select("doc_id", "text", "lang")
-        .filter(~held_out("doc_id", folds, rest) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", "text", "lang", F.xxhash64("doc_id", "lang").alias("h"))
-    )
-    picked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang)
-    found = picked.select("lang", "rank", "text").collect()
-    found.sort(key=lambda r: (r["lang"], r["rank"]))
-    return fit([r["text"] for r in found], [r["lang"] for r in found])
+    found = sorted((r["lang"], r["doc_id"], r["text"]) for r in sampled(docs, folds, rest, per_lang).filter("text is not null").collect())
+    return fit([text for _, _, text in found], [lang for lang, _, _ in found])
+
+
+OWN = ("lang_pred", "score", "rejected")
+
+
+def _batches(batches, model):
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            yield batch, *predict(model, batch.column("text"))
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """docs' columns `keep`, with lang_pred, score and rejected."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    source = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    fields = [source.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, rejected boolean"
+    """docs' columns `keep`, with lang_pred, score and rejected; columns of these names are replaced."""
+    keep = [c for c in keep if c.lower() not in OWN]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    source = docs.select(*dict.fromkeys([*keep, "text"]))
+    schema = T.StructType([*(source.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                names, score, rejected = predict(shared.value, batch.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)],
-                    names=[*keep, "lang_pred", "score", "rejected"],
-                )
+        for batch, names, score, rejected in _batches(batches, shared.value):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def op6_language_id(spark, sf_dir: str) -> DataFrame:
-    from .common import read_table
+def recognised(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """docs, all columns, without the rows whose text is rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch, _, _, rejected in _batches(batches, shared.value):
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
 
+
+def op6_language_id(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = identify(docs, train(docs), ["doc_id"])
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "rejected")

@@ -1,166 +1,171 @@
 """Operator 2, toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of ordinary text and one on the windows that toxic
-text has and ordinary text lacks. A window is one lower-cased word (a long one is cut), framed by marks that both
-dictionaries know, so it is always compressed and the two lengths differ by the window alone. Thresholds on
-the pair of lengths are calibrated on other labelled texts than the dictionaries: each (size, ordinary length, toxic length)
-gets the log ratio of its shares among toxic and ordinary windows. A text's sums of these ratios over several thresholds, by its number of words,
-are turned into a score by a few boosted trees.
-
-The model is fitted on at most ``sample`` labelled rows of each label (a parameter). Every document is scored over its
-whole text.
-
-Defined results: null and empty texts score as a text without windows; without labelled rows of both kinds
-every score is the share of label 1 (0.5 with no rows); repeated rows get equal scores; other columns are ignored.
+Separate zstandard dictionaries are trained on toxic and on ordinary text. Texts are cut into windows of ``WORDS`` words, and
+each window is compressed twice: with the ordinary dictionaries alone and with the toxic ones beside them. What the toxic
+ones save, in bytes, is the window's distance. Windows end by marks that both sides know, so that their last words are searched too.
+
+A toxic text is mostly ordinary, so its dictionaries are trained in rounds: after each, the windows whose distance
+exceeds what all but 0.2 % of ordinary windows reach are the samples of the next. Texts are dealt to folds, and the
+windows of a fold are measured with dictionaries of the other folds only. Thresholds are calibrated on
+labelled texts that trained no dictionary: each distance gets the log ratio of its shares among toxic and ordinary windows,
+and a text's sum of these, over the root of its number of windows, gets a probability by a logistic curve whose two numbers are
+fitted on the same texts, each label weighted by its true share.
+
+The model is fitted on at most ``sample`` labelled rows of each label (a parameter), of which ``thresholds`` ordinary texts set
+the rounds' thresholds. All samples are read whole. Every document is scored over its whole text, in one pass without shuffles.
+
+Defined results: null and empty texts, and texts of white space, score as a text without windows; very long texts are windows like others (a
+word of more than ``LONGEST`` bytes is several words); without labelled rows of both kinds every score is the share of label 1
+(0.5 with no rows); repeated documents get equal scores, and of a labelled document's rows with one id the least text teaches;
+equal distances are equal whatever their window; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, read_table, row_sums, slices
-from .quality import Trees, boost
+from .common import held_out, labelled_sample, read_table, slices
 
 THRESHOLD = 0.3
-LEVEL = 9
-#: Known to both dictionaries; after a window, so that the window isn't the block's last bytes, which aren't searched.
-FRAME = bytes(range(1, 32)) * 3
-CUT = 48
-STEPS = (1.0, 2.0, 3.0, 4.0, 5.0)
-CACHE = 400_000
-_WORKER: dict[bytes, Lengths] = {}
-
-
-def window(word: str) -> bytes:
-    return f" {word} |".encode()
-
-
-def train_dictionaries(toxic: list[str], ordinary: list[str], ordinary_bytes: int = 1 << 16, toxic_bytes: int = 1 << 14, least: int = 3) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and the toxic dictionary."""
-    per_toxic, per_ordinary, samples = Counter(), Counter(), []
-    for t in toxic:
-        per_toxic.update(set(t.lower().split()))
-    for t in ordinary:
-        words = t.lower().split()
-        per_ordinary.update(set(words))
-        samples += [b"".join(map(window, words[i : i + 24])) for i in range(0, min(len(words), 24 * 12), 24)]
-    nt, no = max(1, len(toxic)), max(1, len(ordinary))
-    share = {w: (n / nt, (per_ordinary[w] + 0.5) / no) for w, n in per_toxic.items() if n >= least}
-    lacking = {w: (a - b) / np.sqrt(a / nt) for w, (a, b) in share.items() if a > 8 * b}
-    # what is found most stands last, where offsets are shortest
-    content = b"".join(window(w) for w, s in sorted(lacking.items(), key=lambda x: (x[1], x[0])) if s > 1.5)
+WORDS = 6
+#: Words in a window while the toxic dictionaries are trained: short ones hold less that is ordinary.
+SAMPLE_WORDS = 2
+LONGEST = 64
+PIECE = re.compile(rb"\S{1,%d}" % LONGEST)
+#: Closes every dictionary and every window: the last bytes of what is compressed aren't searched.
+FRAME = bytes(range(1, 25))
+ORDINARY_BYTES = 1 << 16
+TOXIC_BYTES = (8192, 4096, 2048, 1024, 1024, 1024)  # by round
+FOLDS = 4
+QUANTILE = 0.998
+LEAST, MOST = -10, 20  # distances beyond count as these
+PARAMETERS = dict(strategy=zstandard.STRATEGY_BTLAZY2, min_match=4, search_log=5, chain_log=18, hash_log=17, window_log=18, target_length=32)
+_WORKER: dict[bytes, object] = {}
+
+
+def windows(text: str | None, words: int = WORDS) -> list[bytes]:
+    pieces = PIECE.findall((text or "").lower().encode())
+    return [b" " + b" ".join(pieces[k : k + words]) + b" " for k in range(0, len(pieces), words)]
+
+
+def train_dictionary(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained by zstandard; where samples are too few to train on, their own end."""
     try:
-        common = zstandard.train_dictionary(ordinary_bytes, samples).as_bytes()[512:]
+        return zstandard.train_dictionary(size, samples, k=16, d=6).as_bytes()
     except zstandard.ZstdError:
-        common = b"".join(samples)[-ordinary_bytes:]
-    return common + FRAME, content[-toxic_bytes:] + FRAME
+        return b"".join(samples)[-size:]
 
 
-class Lengths:
-    """Compressed lengths of windows under both dictionaries."""
+def lengths(content: bytes):
+    """The compressed length of a window with this dictionary, loaded as content: a byte no match covers costs a byte."""
+    parameters = zstandard.ZstdCompressionParameters(**PARAMETERS, write_content_size=False, write_checksum=False, write_dict_id=False)
+    held = zstandard.ZstdCompressionDict(content + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(compression_params=parameters)
+    compress = zstandard.ZstdCompressor(compression_params=parameters, dict_data=held).compress
+    return lambda own: np.fromiter((len(compress(w + FRAME)) for w in own), np.int64, len(own))
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.compress = [self._compressor(x) for x in (ordinary, toxic)]
-        self.base = [len(c(FRAME)) for c in self.compress]
-        self.known: dict[str, float] = {}
 
-    @staticmethod
-    def _compressor(content: bytes):
-        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(level=LEVEL)
-        return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+def _of(texts: list[str], words: int) -> list[bytes]:
+    return [w for t in texts for w in windows(t, words)]
 
-    def cells(self, word: str) -> list[tuple[int, int, int]]:
-        out = []
-        for k in range(0, len(word), CUT):
-            part = word[k : k + CUT]
-            framed = window(part) + FRAME
-            out.append((min(len(part.encode()), 20), *(min(len(c(framed)) - b, 24) for c, b in zip(self.compress, self.base))))
-        return out
+
+def toxic_dictionaries(toxic: list[str], ordinary: list[str], base: bytes) -> bytes:
+    """The toxic dictionaries that the last round leads to, one for each fold, end to end. `ordinary` sets the thresholds."""
+    folds = [_of(toxic[i::FOLDS], SAMPLE_WORDS) for i in range(FOLDS)]
+    others = [_of(ordinary[i::FOLDS], SAMPLE_WORDS) for i in range(FOLDS)]
+    plain = lengths(base)
+    before, before_others = [plain(own) for own in folds], [plain(own) for own in others]
+    trained = lambda size: [train_dictionary([w for j in range(FOLDS) if j != i for w in samples[j]], size) for i in range(FOLDS)]
+    samples = folds
+    for size in TOXIC_BYTES:
+        both = [lengths(base + d) for d in trained(size)]
+        bar = np.quantile(np.concatenate([b - f(own) for b, f, own in zip(before_others, both, others)]), QUANTILE) if any(others) else 0.0
+        kept = [[w for w, far in zip(own, (b - f(own) > bar).tolist()) if far] for b, f, own in zip(before, both, folds)]
+        if not all(kept):
+            break
+        samples = kept
+    return b"".join(trained(TOXIC_BYTES[-1]))
 
 
 @dataclass
 class ToxicityModel:
+    """Contents of the dictionaries, log ratio of each distance from LEAST to MOST, and the curve's slope and height."""
+
     ordinary: bytes
     toxic: bytes
-    ratio: dict[tuple[int, int, int], float]
-    trees: Trees
-
-    def lengths(self) -> Lengths:
-        """The worker's own, kept between tasks."""
-        if self.toxic not in _WORKER:
+    ratio: np.ndarray = field(default_factory=lambda: np.zeros(MOST - LEAST + 1))
+    slope: float = 0.0
+    height: float = 0.0
+
+    def distances(self, own: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionaries save in each window. The worker keeps its last model's."""
+        key = self.ordinary + b"\0" + self.toxic
+        if key not in _WORKER:
             _WORKER.clear()
-            _WORKER[self.toxic] = Lengths(self.ordinary, self.toxic)
-        return _WORKER[self.toxic]
-
-    def features(self, column: pa.Array) -> np.ndarray:
-        lengths = self.lengths()
-        if len(lengths.known) > CACHE:
-            lengths.known = {}
-        text = pc.utf8_lower(pc.fill_null(column, "").cast(pa.large_string()))
-        words = pc.utf8_split_whitespace(text)
-        offsets = np.asarray(words.offsets, np.int64)
-        coded = words.flatten().dictionary_encode()
-        own = np.zeros(len(coded.dictionary))
-        for k, w in enumerate(coded.dictionary.to_numpy(zero_copy_only=False).tolist()):
-            ratio = lengths.known.get(w)
-            if ratio is None:
-                ratio = lengths.known[w] = max((self.ratio.get(c, 0.0) for c in lengths.cells(w)), default=0.0)
-            own[k] = ratio
-        values = own[np.asarray(coded.indices, np.int64)] if len(own) else np.zeros(0)
-        n = np.diff(offsets)
-        out = [np.log1p(n)]
-        for step in STEPS:
-            above = values >= step
-            total = np.concatenate(([0.0], np.cumsum(np.where(above, values, 0.0))))
-            out += [(total[offsets[1:]] - total[offsets[:-1]]) / (n + 20), row_sums(above, offsets) / (n + 20)]
-        return np.column_stack(out)
+            _WORKER[key] = lengths(self.ordinary), lengths(self.ordinary + self.toxic)
+        plain, both = _WORKER[key]
+        return np.clip(plain(own) - both(own), LEAST, MOST)
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        return self.trees.score(self.features(column) if len(self.trees.feature) else np.zeros((len(column), 1)))
+    def measured(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of all texts' windows, end to end, and each text's number of windows."""
+        own = [windows(t) for t in texts]
+        return self.distances([w for x in own for w in x]), np.array([len(w) for w in own], np.int64)
 
+    def evidence(self, distances: np.ndarray, n: np.ndarray) -> np.ndarray:
+        values, ends = np.concatenate(([0.0], np.cumsum(self.ratio[distances - LEAST]))), np.cumsum(n)
+        return (values[ends] - values[ends - n]) / np.sqrt(n + 5)
 
-def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
-    """Every other row of a label trains the dictionaries, the rest calibrates."""
+    def score(self, column: pa.Array) -> np.ndarray:
+        texts = column.to_pylist()
+        evidence = self.evidence(*self.measured(texts)) if self.slope else np.zeros(len(texts))
+        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.height, -30, 30)))
+
+
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and height of the logistic curve, by Newton's method with a light ridge on the slope."""
+    a = np.column_stack([x, np.ones(len(x))])
+    at, ridge = np.zeros(2), np.diag([1e-3, 1e-6])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ at, -30, 30)))
+        step = np.linalg.solve((a * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ a + ridge, a.T @ (weight * (y - p)) - ridge @ at)
+        at = at + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(at[0]), 1e-9), float(at[1])
+
+
+def fit(rows: list[tuple[str, int]], share: float | None = None, thresholds: int = 256) -> ToxicityModel:
+    """Every other text of a label trains the dictionaries, the rest calibrates; share: of label 1 among all labelled rows."""
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
+    share = (len(toxic) / len(rows) if rows else 0.5) if share is None else share
     if not toxic or not ordinary:
-        y = np.array([y for _, y in rows], float)
-        return ToxicityModel(FRAME, FRAME, {}, boost(np.zeros((len(y), 1)), y))
-    a = train_dictionaries(toxic[::2], ordinary[::2])
-    lengths = Lengths(*a)
-    cells: dict[str, list] = {}
-    counts = []
-    for texts in (toxic[1::2] or toxic, ordinary[1::2] or ordinary):
-        own: Counter = Counter()
-        for t in texts:
-            for w in t.lower().split():
-                if w not in cells:
-                    cells[w] = lengths.cells(w)
-                own.update(cells[w])
-        counts.append(own)
-    nt, no = (max(1, sum(c.values())) for c in counts)
-    ratio = {c: float(np.log(((n + 0.5 * nt / no) / nt) / ((counts[1][c] + 0.5) / no))) for c, n in counts[0].items()}
-    model = ToxicityModel(*a, {c: v for c, v in ratio.items() if v >= STEPS[0]}, boost(np.zeros((0, 1)), np.zeros(0)))
-    rest = [(t, 1) for t in toxic[1::2] or toxic] + [(t, 0) for t in ordinary[1::2] or ordinary]
-    x = np.concatenate([model.features(pa.array([t for t, _ in rest[i : i + 500]], pa.string())) for i in range(0, len(rest), 500)])
-    model.trees = boost(x, np.array([y for _, y in rest], float), rounds=60, depth=3)
+        return ToxicityModel(b"", b"", height=float(np.log(np.clip(share, 1e-4, 1 - 1e-4) / np.clip(1 - share, 1e-4, 1))))
+    rest = [toxic[1::2] or toxic, ordinary[1::2] or ordinary]
+    base = train_dictionary(_of(ordinary[::2], WORDS), ORDINARY_BYTES)
+    model = ToxicityModel(base, toxic_dictionaries(toxic[::2], rest[1][:thresholds], base))
+    measured = [model.measured(texts) for texts in rest]
+    counts = [np.bincount(d - LEAST, minlength=MOST - LEAST + 1) + 0.5 for d, _ in measured]
+    model.ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
+    y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
+    weight = np.where(y > 0, share / len(rest[0]), (1 - share) / len(rest[1])) * len(y)
+    model.slope, model.height = _curve(np.concatenate([model.evidence(*m) for m in measured]), y, weight)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, rest: int = 2, sample: int = 3000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, rest: int = 2, sample: int = 3000, thresholds: int = 256) -> ToxicityModel:
     parts = [labelled_sample(docs, labels.filter(F.col(label) == y), label, folds, rest, sample) for y in (0, 1)]
     found = reduce(DataFrame.union, parts).toArrow()
-    rows = sorted(zip(found["doc_id"].to_pylist(), found["text"].to_pylist(), found["label"].to_pylist()))
-    return fit([(t, y) for _, t, y in rows])
+    rows = sorted(zip(found["doc_id"].to_pylist(), found["label"].to_pylist(), found["text"].to_pylist()))
+    share = labels.filter(F.col(label).isin(0, 1) & ~held_out("doc_id", folds, rest)).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return fit([(t, y) for _, y, t in rows], share, thresholds)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -169,7 +174,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(batch.column("text")), pa.float64())], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
