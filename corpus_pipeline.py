@@ -15,8 +15,7 @@ from episodica.llm.common import read_table, stored
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents too far from every language, or without letters, go."""
-    found = language_id.identify(docs, language_id.train(docs), docs.columns)
-    return found.filter("not rejected").select(*docs.columns)
+    return language_id.recognised(docs, language_id.train(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
