@@ -153,7 +153,8 @@ def fit(rows: list[tuple[str, int]], share: float | None = None, thresholds: int
     model = ToxicityModel(base, toxic_dictionaries(toxic[::2], rest[1][:thresholds], base))
     measured = [model.measured(texts) for texts in rest]
     counts = [np.bincount(d - LEAST, minlength=MOST - LEAST + 1) + 0.5 for d, _ in measured]
-    model.ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
+    ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
+    model.ratio = np.round(ratio * 2**20) / 2**20  # so that sums are exact, whatever stands beside a text in its batch
     y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
     weight = np.where(y > 0, share / len(rest[0]), (1 - share) / len(rest[1])) * len(y)
     model.slope, model.height = _curve(np.concatenate([model.evidence(*m) for m in measured]), y, weight)
