@@ -42,11 +42,20 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a statement when it ends, not when the driver collects its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and frees the shuffles before."""
+    spark = df.sparkSession
+    path, before = new_folder(spark, tag), spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(TIDY, before) if before is not None else spark.conf.unset(TIDY)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bucket(doc_id: str, n: int):

@@ -9,16 +9,17 @@ of them gets a suffix array by induced sorting, its permuted common prefixes tel
 least document of each such set wins. So an exact copy costs one row a run, and only the edges of repeated
 stretches are sorted.
 
+Runs count as equal if a 64-bit hash of their bytes and the 64-bit key agree; what suffix arrays decide is compared by its bytes.
+
 Defined results: null text is empty; matches never cross documents; rows with a null doc_id are neither changed nor
-matched; rows of one doc_id don't match each other; texts under ``width`` bytes stay; an empty table gives no rows; other columns
-pass through or are ignored.
+matched; rows of one doc_id don't match each other; repeated rows (id and text) are looked at once and each cut alike; texts under
+``width`` bytes stay; very long texts are cut into runs like others; an empty table gives no rows; other columns pass through or are
+ignored, and none can clash with the operator's own, which have names of their own.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, stored, text_bytes
+from .common import private, read_table, slices, stored, text_bytes
 from .suffix_array import common_prefixes, suffix_array
 
 WIDTH = 50
@@ -107,10 +108,27 @@ class Seen:
         return gone
 
 
+class Once:
+    """Rows of this task whose id and text were met before: a row that is repeated very often sends its runs once a task."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.met: set[tuple[int, int]] = set()
+        self.most = most
+
+    def new(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        if len(self.met) > self.most:  # forgetting costs rows, not results
+            self.met.clear()
+        fresh = []
+        for pair in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()):
+            fresh.append(pair not in self.met)
+            self.met.add(pair)
+        return batch if all(fresh) else batch.filter(pa.array(fresh))
+
+
 def _runs(batches, width: int):
-    seen = Seen()
+    seen, once = Seen(), Once()
     for whole in batches:
-        for batch in slices(whole, "text", 2 << 20):
+        for batch in slices(once.new(whole), "text"):
             raw, offsets = text_bytes(batch.column("text"))
             row, at, n, key = window_runs(raw, offsets, width)
             if not len(row):
@@ -128,7 +146,7 @@ def _runs(batches, width: int):
 def _content(batches, width: int):
     """The bytes of each wanted run, from its document's text."""
     for whole in batches:
-        for batch in slices(whole, "text", 2 << 20):
+        for batch in slices(whole, "text"):
             raw, offsets = text_bytes(batch.column("text"))
             data, runs = raw.tobytes(), batch.column("runs")
             row = np.repeat(np.arange(batch.num_rows), np.asarray(runs.value_lengths()))
@@ -212,14 +230,6 @@ def _shards(batches, width: int):
         yield spans(pa.Table.from_batches(held))
 
 
-def _release(spark) -> None:
-    """Let the driver's JVM see now that the shuffles of finished steps are free, so that their files go meanwhile."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def repeated_spans(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """(doc_id, th, start, length) in bytes of stretches to remove, which may overlap; th is xxhash64 of the text.
 
@@ -236,11 +246,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> D
     kept = seen.filter(copy | ((F.col("lo") < F.col("hi")) & F.col("several")))
     at, n = F.shiftright("place", 8).cast("int"), (F.shiftright("place", 1) % PLACE).cast("int")
     kept = stored(kept.select(F.when(~copy, F.col("m")).alias("m"), "doc_id", "th", at.alias("at"), n.alias("n"), copy.alias("copy"), "crowded"), "runs")
-    _release(spark)
     copies = kept.filter("copy").select("doc_id", "th", F.col("at").cast("bigint").alias("start"), (F.col("n") + (width - 1)).cast("bigint").alias("length"))
 
     def content(part: DataFrame) -> DataFrame:
-        wanted = part.groupBy(F.col("doc_id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_list(F.struct("m", "at", "n")).alias("runs"))
+        wanted = part.groupBy(F.col("doc_id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_set(F.struct("m", "at", "n")).alias("runs"))
         own = rows.join(wanted, (rows.doc_id == F.col("of")) & (rows.th == F.col("of_th"))).select("doc_id", "th", "text", "runs")
         return own.mapInArrow(lambda it: _content(it, width), "m bigint, doc_id bigint, th bigint, at int, content binary")
 
@@ -251,7 +260,6 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> D
         least = windows.groupBy("w").agg(F.min("doc_id").alias("lo"))
         edges = edges.unionByName(windows.join(least, "w").filter("doc_id > lo").select("doc_id", "th", "start", F.lit(width).cast("bigint").alias("length")))
     edges = stored(edges, "edges")
-    _release(spark)
     return copies.unionByName(edges)
 
 
@@ -275,23 +283,31 @@ def remaining(text: str | None, starts, lengths) -> tuple[bytes, int, int]:
     return kept, len(raw) - len(kept), spans
 
 
-def with_spans(docs: DataFrame, keep: list[str], width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
-    """docs' columns `keep`, text, and arrays _starts and _lengths of what to remove (null where nothing)."""
-    spans = repeated_spans(docs, width, crowd).groupBy(F.col("doc_id").alias("_of"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
-    rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    own = rows.join(spans, (rows.doc_id.cast("bigint") == spans._of) & (F.xxhash64(rows.text) == spans._th), "left")
-    return own.select(*rows.columns, F.col("_spans.start").alias("_starts"), F.col("_spans.length").alias("_lengths"))
+def with_spans(docs: DataFrame, keep: list[str], width: int = WIDTH, crowd: int = CROWD) -> tuple[DataFrame, str]:
+    """docs' columns `keep`, text, and an array of (start, length) of what to remove (null where nothing); and that array's name.
+
+    Rows that are repeated get one set of spans, however often they come.
+    """
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    of, of_text, spans, own_id, own_text = private(rows.columns, "of", "of_text", "spans", "own_id", "own_text")
+    found = repeated_spans(docs, width, crowd).groupBy(F.col("doc_id").alias(of), F.col("th").alias(of_text)).agg(F.collect_set(F.struct("start", "length")).alias(spans))
+    keyed = rows.withColumns({own_id: F.col("doc_id").cast("bigint"), own_text: F.xxhash64("text")})
+    joined = keyed.join(found, (F.col(own_id) == F.col(of)) & (F.col(own_text) == F.col(of_text)), "left")
+    return joined.select(*rows.columns, spans), spans
+
+
+def _left(batch: pa.RecordBatch, spans: str) -> list[tuple[bytes, int, int]]:
+    return [remaining(t, [x["start"] for x in own or ()], [x["length"] for x in own or ()]) for t, own in zip(batch.column("text").to_pylist(), batch.column(spans).to_pylist())]
 
 
 def digest(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
-    found = with_spans(docs, ["doc_id"], width, crowd)
+    found, spans = with_spans(docs, ["doc_id"], width, crowd)
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                rows = [(len((t or "").encode()), *remaining(t, a, n)) for t, a, n in zip(*(batch.column(c).to_pylist() for c in ("text", "_starts", "_lengths")))]
-                out = [[size, gone, spans, hashlib.sha256(kept).hexdigest()] for size, kept, gone, spans in rows]
+                out = [[len(kept) + gone, gone, runs, hashlib.sha256(kept).hexdigest()] for kept, gone, runs in _left(batch, spans)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(zip(*out), [pa.int64()] * 3 + [pa.string()]))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return found.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
@@ -299,14 +315,13 @@ def digest(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with the repeated bytes taken out of text (and of a character, all its bytes), and n_chars to match where there is such a column."""
-    found = with_spans(docs, docs.columns, width)
-    names = docs.columns
-    schema = docs.schema
+    found, spans = with_spans(docs, docs.columns, width)
+    names, schema = docs.columns, docs.schema
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                kept = [None if t is None else remaining(t, a, n)[0].decode(errors="ignore") for t, a, n in zip(*(batch.column(c).to_pylist() for c in ("text", "_starts", "_lengths")))]
+                kept = [left.decode(errors="ignore") if ok else None for ok, (left, _, _) in zip(batch.column("text").is_valid().to_pylist(), _left(batch, spans))]
                 columns = {c: batch.column(c) for c in names} | {"text": pa.array(kept, pa.string())}
                 if "n_chars" in columns:
                     columns["n_chars"] = pa.array([None if t is None else len(t) for t in kept]).cast(columns["n_chars"].type)
