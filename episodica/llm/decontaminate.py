@@ -3,31 +3,39 @@
 Text and test items are lower-cased and every run of other than letters and digits becomes one space. An item of m
 characters may occur with up to floor(rate * m) edits. It is cut into one piece more than that, so an
 occurrence holds at least one piece unchanged. One automaton finds all pieces of all items in a pass over a
-text; the stretches around the hits are verified with Myers' bit-parallel distance.
+text; the stretches around the hits are verified with Myers' bit-parallel distance. Of an item of fewer than ``least`` characters, which
+could be part of any words, only an occurrence without edits and between words counts.
 
-Items are sent to the workers in blocks of at most ``block`` bytes of text, one pass over the documents for each block,
-so nothing unbounded is broadcast.
+Items are sent to the workers in blocks of about ``block`` bytes of text, one pass over the documents for each block. With
+several blocks each pass is written to the shared folder before the next, so one block is alive at a time; a worker keeps
+the automaton of its block between tasks.
 
-Defined results: null or empty texts match nothing; items of fewer than ``least`` characters prove nothing
-and take no part, nor do null ones; repeated items match each, repeated documents get equal rows; an empty
-benchmark marks nothing. Other columns pass through or are ignored.
+Defined results: null or empty texts match nothing; null items, and those without letters and digits, match
+nothing; items of equal text match each, equal items (id and text) count once, repeated documents get equal rows; an empty
+benchmark or table marks nothing; very long texts are searched whole; an item's distance is the least of its occurrences. Other columns
+pass through or are ignored; `leaks` replaces a column of that name.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import ahocorasick
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import read_table, slices
+from .common import private, read_table, slices, stored
 
 RATE = 0.05
 LEAST = 24
 BLOCK = 4 << 20
+LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())]))
+ELEMENT = pa.struct([("item_id", pa.int64()), ("distance", pa.int32())])
+_WORKER: dict[str, object] = {}
 
 
 def normalized(column: pa.Array) -> pa.Array:
@@ -38,14 +46,23 @@ def normalized(column: pa.Array) -> pa.Array:
 class Pattern:
     """One item: its pieces and the Myers tables."""
 
-    def __init__(self, text: str, rate: float):
-        self.text, self.size, self.budget = text, len(text), int(rate * len(text))
+    def __init__(self, text: str, rate: float, least: int = LEAST):
+        self.text, self.size = text, len(text)
+        self.apart = self.size < least
+        self.budget = 0 if self.apart else int(rate * self.size)
         cuts = [round(k * self.size / (self.budget + 1)) for k in range(self.budget + 2)]
         self.pieces = [(a, text[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
         self.equal: dict[str, int] = {}
         for k, c in enumerate(text):
             self.equal[c] = self.equal.get(c, 0) | 1 << k
 
+    def found(self, text: str, spans: list[list[int]]) -> int:
+        """The least distance within the spans; over the budget if a short item nowhere stands between words."""
+        if self.apart:
+            whole = any(a >= 0 and text[a:b] == self.text and text[a - 1 : a] in ("", " ") and text[b : b + 1] in ("", " ") for a, b in spans)
+            return 0 if whole else 1
+        return min(self.distance(text[max(0, a) : b]) for a, b in spans)
+
     def distance(self, text: str) -> int:
         """The least edit distance between the item and any part of the text."""
         full, top, get = (1 << self.size) - 1, 1 << (self.size - 1), self.equal.get
@@ -74,11 +91,11 @@ class Matcher:
         self.ids: dict[str, list[int]] = {}
         where: dict[str, list] = {}
         for (item, _), text in zip(items, texts):
-            if len(text) < least:
+            if not text:
                 continue
             self.ids.setdefault(text, []).append(item)
             if text not in self.patterns:
-                self.patterns[text] = pattern = Pattern(text, rate)
+                self.patterns[text] = pattern = Pattern(text, rate, least)
                 for at, piece in pattern.pieces:
                     where.setdefault(piece, []).append((pattern, at))
         self.automaton = ahocorasick.Automaton()
@@ -96,7 +113,9 @@ class Matcher:
             for pattern, at in owners:
                 start = end + 1 - size - at - pattern.budget
                 spans = around.setdefault(pattern.text, [])
-                if spans and start <= spans[-1][1]:
+                if pattern.apart:
+                    spans.append([start, start + pattern.size])
+                elif spans and start <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], start + pattern.size + 2 * pattern.budget)
                     spans[-1][0] = min(spans[-1][0], start)
                 else:
@@ -104,42 +123,67 @@ class Matcher:
         found = []
         for key, spans in around.items():
             pattern = self.patterns[key]
-            best = min(pattern.distance(text[max(0, a) : b]) for a, b in spans)
+            best = pattern.found(text, spans)
             if best <= pattern.budget:
                 found += [(item, best) for item in self.ids[key]]
         return sorted(found)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], rate: float = RATE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
-    """docs' columns `keep` and an array `leaks` of (item_id, distance), empty where nothing leaked."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def _items(benchmark: DataFrame, block: int) -> tuple[list[DataFrame], int]:
+    """The items, dealt to blocks by their hash, and the number of these."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / block))
-    held = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    source = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    kind = "array<struct<item_id: bigint, distance: int>>"
-    names = source.columns
-    out = source.withColumn("_all", F.array().cast(kind))
-    for k in range(blocks):
-        rows = sorted((r["item_id"], r["text"]) for r in held.filter(F.col("_block") == k).collect())
-        out = _pass(out, names, spark.sparkContext.broadcast(rows), rate, least)
-    return out.select(*keep, F.col("_all").alias("leaks"))
+    return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) for k in range(blocks)], blocks
+
 
+def _matcher(key: str, items, rate: float, least: int) -> Matcher:
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = Matcher(items.value, rate, least)
+    return _WORKER[key]
 
-def _pass(docs: DataFrame, names: list[str], items, rate: float, least: int) -> DataFrame:
-    element = pa.struct([("item_id", pa.int64()), ("distance", pa.int32())])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _own array<struct<item_id: bigint, distance: int>>"
+
+def _pass(docs: DataFrame, block: DataFrame, marks: str, rate: float, least: int) -> DataFrame:
+    """docs with the block's finds added to the array column `marks`."""
+    items = docs.sparkSession.sparkContext.broadcast(sorted((r["item_id"], r["text"]) for r in block.collect()))
+    key, names = uuid.uuid4().hex, docs.columns
+    at = names.index(marks)
 
     def run(batches):
-        matcher = Matcher(items.value, rate, least)
+        matcher = _matcher(key, items, rate, least)
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = normalized(pc.fill_null(batch.column("text"), "")).to_pylist()
-                own = [[{"item_id": i, "distance": d} for i, d in matcher.match(t)] for t in texts]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(element))], names=[*names, "_all", "_own"])
+                found = [before + [{"item_id": i, "distance": d} for i, d in matcher.match(t)] for before, t in zip(batch.column(at).to_pylist(), texts)]
+                columns = batch.columns
+                columns[at] = pa.array(found, pa.list_(ELEMENT))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, marks: str, rate: float = RATE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """docs and an array column `marks` of (item_id, distance), empty where nothing leaked."""
+    out = docs.withColumn(marks, F.array().cast(LEAKS))
+    blocks, n = _items(benchmark, block)
+    for k, own in enumerate(blocks):
+        out = _pass(out, own, marks, rate, least)
+        if k < n - 1:
+            out = stored(out, "leaks")
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], rate: float = RATE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """docs' columns `keep` and an array `leaks` of (item_id, distance), empty where nothing leaked."""
+    keep = [c for c in keep if c.lower() != "leaks"]
+    return marked(docs.select(*dict.fromkeys([*keep, "text"])), benchmark, "leaks", rate, least, block).select(*keep, "leaks")
+
 
-    return docs.mapInArrow(run, schema).select(*names, F.concat("_all", "_own").alias("_all"))
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs, all columns, without the rows in which an item leaked."""
+    (marks,) = private(docs.columns, "leaks")
+    return marked(docs, benchmark, marks).filter(F.size(marks) == 0).select(*docs.columns)
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
