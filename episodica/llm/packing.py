@@ -7,11 +7,11 @@ the counts allow. What remains is packed best-fit: the largest length that fits,
 after each. The plan is a list of patterns with multiplicities; it doesn't grow with the number of documents.
 
 Pieces are numbered within their length by counts of (length, salt) groups, so a length that a third of all
-pieces share is spread over ``salts`` tasks; each piece then finds its place in the plan by its number.
+pieces share, or rows that are repeated, are spread over ``salts`` tasks; each piece then finds its place in the plan by its number.
 
-Defined results: null text is empty and gives one piece of the end id; texts over ``capacity`` ids are cut into
-pieces of ``capacity`` and a rest; repeated rows are packed each; an empty table gives no rows. Other columns
-are ignored.
+Defined results: null text is empty and gives one piece of the end id; texts over ``capacity`` ids, however long, are cut into
+pieces of ``capacity`` and a rest; repeated rows are packed each; pieces of equal length are packed in any order; an empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, stored
+from .common import private, read_table, slices, stored
 from .tokens import END_ID, encoder, vocabulary_path
 
 CAPACITY = 4096
@@ -53,7 +54,7 @@ class _Stock:
 
     def exact(self, gap: int, most: int = 3) -> list[int] | None:
         """At most that many lengths that fill the gap."""
-        if most and self.left[gap] > 0:
+        if self.left[gap] > 0:
             return [gap]
         if most < 2:
             return None
@@ -85,10 +86,10 @@ class _Stock:
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """Patterns of lengths and how many sequences use each.
 
-    Of the plans that complete gaps with up to three, two, one or no lengths at once, the shortest: where lengths
-    are few, spending small ones on exact fills early can cost more than it saves.
+    Of the plans that complete gaps with up to three, two or one lengths at once, the shortest: where lengths
+    are few, spending small ones on triples early can cost more than it saves.
     """
-    plans = [_plan(counts, capacity, most) for most in (3, 2, 1, 0)]
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1)]
     return min(plans, key=lambda p: sum(times for _, times in p))
 
 
@@ -151,13 +152,13 @@ def place(slots: dict[int, np.ndarray], length: np.ndarray, number: np.ndarray)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and the ids, if wanted) of each piece."""
+    """doc_id, piece, start, length, ids_crc32, spread (a number that differs between rows that don't) and the ids, if wanted, of each piece."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encode = encoder(path, end_id).encode
+        encode, task, done = encoder(path, end_id).encode, TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text"):
                 ids, offsets = encode(batch.column("text"))
                 pieces = -(-np.diff(offsets) // capacity)
                 owner = np.repeat(np.arange(batch.num_rows), pieces)
@@ -167,31 +168,34 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 length = np.minimum(capacity, offsets[owner + 1] - first)
                 parts = [ids[a:b] for a, b in zip(first.tolist(), (first + length).tolist())]
                 crc = pa.array([zlib.crc32(x) for x in parts], pa.int64())
+                spread = (task * 7919 + done + np.arange(len(owner))) % 1_000_003
+                done += len(owner)
                 more = [pa.array([x.astype(np.int64) for x in parts], pa.list_(pa.int64()))] if with_ids else []
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), crc, *more], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), crc, pa.array(spread), *more], names=names)
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "spread", *(["ids"] if with_ids else [])]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, spread bigint" + ", ids array<bigint>" * with_ids)
 
 
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
-    """pieces (with a length from 1 to capacity) and their sequence_id and offset; `order` makes numbers repeatable."""
+    """pieces (a stored table with a length from 1 to capacity) and their sequence_id and offset; `order` deals and numbers them."""
     spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salt, its_length, its_salt, n, base, rank, number = private(pieces.columns, "salt", "its_length", "its_salt", "n", "base", "rank", "number")
+    counts = {r["length"]: r[n] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias(n)).collect()}
     slots = spark.sparkContext.broadcast(places(plan(counts, capacity)))
     salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    groups = salted.groupBy(F.col("length").alias("_length"), F.col("_salt").alias("_own")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_length").orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)
-    bases = groups.select("_length", "_own", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
-    numbered = ranked.join(bases, (F.col("length") == F.col("_length")) & (F.col("_salt") == F.col("_own"))).select(*pieces.columns, (F.col("_base") + F.col("_rank")).alias("_number"))
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)))
+    groups = salted.groupBy(F.col("length").alias(its_length), F.col(salt).alias(its_salt)).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(its_length).orderBy(its_salt).rowsBetween(Window.unboundedPreceding, -1)
+    bases = groups.select(its_length, its_salt, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy(*order)) - 1)
+    numbered = ranked.join(bases, (F.col("length") == F.col(its_length)) & (F.col(salt) == F.col(its_salt))).select(*pieces.columns, (F.col(base) + F.col(rank)).alias(number))
     columns = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id bigint, offset bigint"
 
     def run(batches):
         for batch in batches:
-            sequence, offset = place(slots.value, batch.column("length").to_numpy(), batch.column("_number").to_numpy())
+            sequence, offset = place(slots.value, batch.column("length").to_numpy(), batch.column(number).to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
     return numbered.mapInArrow(run, schema)
@@ -199,7 +203,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, salts: i
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     pieces = stored(token_pieces(docs, path or vocabulary_path(), capacity), "pieces")
-    return pack(pieces, ["doc_id", "piece", "ids_crc32"], capacity)
+    return pack(pieces, ["doc_id", "piece", "ids_crc32", "spread"], capacity).drop("spread")
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
