@@ -9,14 +9,14 @@ by decompressing its frame alone. Layout of a shard:
     dictionary, magic ETOKE001
 
 The dictionary lies beside the shards in a file named by its hash; readers refuse another one. It is trained
-on at most ``sample`` documents (a parameter); with too few for training the shards use none.
+on at most ``sample`` documents (a parameter), whose ids are picked first; with too few for training the shards use none.
 
 Documents are range-partitioned and sorted by doc_id, so shards ascend by partition and number. A task writes
 under a name of its own, and only shards in the manifest, which Spark commits, count; a retried task
 leaves an unlisted file.
 
-Defined results: null text is empty; null ids come first; repeated rows are stored each; an empty table
-gives an empty manifest. Other columns are ignored.
+Defined results: null text is empty; null ids come first; repeated rows are stored each, rows of one id side by side in any order, over
+several shards where they are many; very long texts are frames like others; an empty table gives an empty manifest. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, read_table, slices
+from .common import new_folder, of_ids, read_table, slices
 from .tokens import END_ID, Encoder, encoder, vocabulary_path
 
 START, STOP = b"ETOKS001", b"ETOKE001"
@@ -134,8 +134,9 @@ def encode_documents(docs: DataFrame, folder: str, path: str | None = None, end_
     spark, path = docs.sparkSession, path or vocabulary_path()
     width = _width(path)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    picked = source.filter("text is not null").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample).select("text").toArrow()["text"].combine_chunks()
-    ids, offsets = Encoder(path, end_id).encode(picked)
+    picked = source.filter("doc_id is not null and text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    texts = [r["text"] for r in sorted(of_ids(source, picked).collect(), key=lambda r: r["doc_id"])]
+    ids, offsets = Encoder(path, end_id).encode(pa.array(texts, pa.string()))
     dictionary = train_dictionary([ids[a:b] for a, b in zip(offsets[:-1], offsets[1:])], width)
     store, place = _open(folder)
     store.create_dir(place, recursive=True)
@@ -152,7 +153,7 @@ def encode_documents(docs: DataFrame, folder: str, path: str | None = None, end_
             return pa.RecordBatch.from_pydict({"path": [name], "part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "n_docs": [len(writer.ids)], "n_tokens": [sum(writer.sizes)]})
 
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text"):
                 ids, offsets = encode(batch.column("text"))
                 for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                     if writer is None:
@@ -166,7 +167,9 @@ def encode_documents(docs: DataFrame, folder: str, path: str | None = None, end_
             yield done()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, equal ones too, may span several ranges
+    keyed = source.withColumns({"head": F.substring("text", 1, 40), "spread": F.rand(7)})
+    ordered = keyed.repartitionByRange(parts, "doc_id", "head", "spread").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
