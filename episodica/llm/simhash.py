@@ -13,8 +13,8 @@ doesn't yet share, which loses no pair; what is left after three levels has unde
 unbounded bucket. Components are then labelled on the cluster.
 
 Defined results: null text is empty; no words give fingerprint zero, linked like any other; fewer than three
-words form one shingle; repeated rows share a fingerprint and each get a row; component_id is the smallest
-non-null doc_id (null if a component has none). Other columns are ignored.
+words form one shingle; very long texts are read whole; repeated rows share a fingerprint and each get a row; component_id is the
+smallest non-null doc_id (null if a component has none); an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, stored
+from .common import private, read_table, slices, stored
 from .components import connected_components
 
 RADIUS = 3
@@ -152,15 +152,32 @@ def near_links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT, tag: st
     return reduce(DataFrame.union, found)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", tag: str = "simhash") -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
-    marked = stored(fingerprints(docs, [id_col]), f"{tag}-fp")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", tag: str = "simhash", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns `keep`, fp, component_id) of every row."""
+    marked = stored(fingerprints(docs, [id_col, *keep]), f"{tag}-fp")
     nodes = stored(marked.groupBy("fp").agg(F.min(id_col).alias("first")), f"{tag}-nodes")
     roots = connected_components(near_links(nodes.select("fp"), tag=tag), tag)
     owned = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = owned.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = owned.join(least, "root").select(F.col("fp").alias("node_fp"), "component_id")
-    return marked.join(by_fp, marked.fp == by_fp.node_fp).select(id_col, "fp", "component_id")
+    return marked.join(by_fp, marked.fp == by_fp.node_fp).select(id_col, *keep, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with one row of each group of near-duplicates: that of the smallest doc_id.
+
+    doc_id is the key: of several rows of that id one stays, which has the least text hash. Rows without an id stay.
+    """
+    th, own, its, n = private(docs.columns, "th", "own", "its", "n")
+    keyed = docs.withColumn(th, F.xxhash64("text"))
+    named = keyed.filter("doc_id is not null")
+    groups = near_duplicates(named.select("doc_id", "text", F.col(th).alias("th")), keep=("th",))
+    rows = groups.filter("doc_id = component_id").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    first = stored(rows.groupBy(F.col("doc_id").alias(own)).agg(F.min(F.struct("th", "n")).alias(n)).select(own, F.col(f"{n}.th").alias(its), F.col(f"{n}.n").alias(n)), "simhash-first")
+    match = lambda part: named.join(part.select(own, its), (F.col("doc_id") == F.col(own)) & (F.col(th) == F.col(its)), "left_semi").select(*docs.columns)
+    once, often = match(first.filter(F.col(n) == 1)), first.filter(F.col(n) > 1)
+    kept = once.unionByName(docs.filter("doc_id is null"))
+    return kept if often.isEmpty() else kept.unionByName(match(often).dropDuplicates(["doc_id"]))
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
