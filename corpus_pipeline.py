@@ -2,12 +2,15 @@
 
 Each stage takes what the one before kept and, but for the last, returns the columns of documents. doc_id is
 taken as the documents' key; rows without an id pass the near-duplicate stage and are never matched.
+
+Defined results: a null or empty text goes in the first stage, as it has no letters; very long texts are read whole; of repeated
+rows, and of several rows of one id, one stays in the near-duplicate stage; ties between near-duplicates go to the smaller id; an
+empty table stays empty; other columns pass all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from episodica.llm import decontaminate, language_id, packing, simhash, substring_dedup
 from episodica.llm.common import read_table, stored
@@ -19,10 +22,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs.filter("doc_id is not null"))
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """Of each group of near-duplicates one row of the smallest id stays."""
+    return simhash.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, up to some edits, go."""
-    found = decontaminate.leaks(docs, read_table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
