@@ -1,19 +1,22 @@
 """Operator 1, approximate nearest neighbours in balanced posting lists.
 
-Centroids are fitted on a bounded sample (``sample`` vectors, least hash of the id first) by k-means; lists that
-hold more than their share of the sample are split again, so the lists are balanced. A graph joins each centroid to its
+Centroids are fitted on a bounded sample (about ``sample`` vectors, by the hash of their values) by k-means; lists that
+hold more than their share of the sample are split again, so the lists are balanced. Their number grows with the vectors, up to an
+eighth of the sample. A graph joins each centroid to its
 nearest ones and a best-first beam search on it, in memory, finds the centroids near a vector. Every vector is
 indexed: in its nearest list and, where it lies near a boundary, in up to ``copies`` lists whose centroids are
 at most (1 + margin) times as far. A query searches the lists whose centroids are at most (1 + ratio) times as far as its
 nearest one; ratio is calibrated so that sampled queries reach the wanted recall within the sample.
 
-The lists, not the driver, hold the vectors: queries and vectors meet by list, in blocks, and each block
-returns its own nearest ones. A list that holds many vectors is dealt to several salts.
+Equal vectors are one point with its smallest ids, one more than are asked for, since no query needs others of them; so a vector that very
+many rows share is compared once. The lists, not the driver, hold the points: asking and held points meet by list, in blocks, and each block
+returns its own nearest ids. A list's points are dealt to salts of at most about ``per_task``, those that ask likewise, and each
+pair of salts is a task of its own.
 
 Distances are exact: squared differences of the original vectors in double precision. Defined results: vectors that
 are null, zero, of another length than most, or hold null or non-finite components take no part; ties
-go to the smaller vec_id; repeated rows count once, an id with several vectors has its nearest one; a query without candidates gives
-no rows. Other columns are ignored.
+go to the smaller vec_id; repeated rows count once, an id with several vectors has its nearest one; a query without candidates, as
+any with an empty table or a single vector, gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -129,8 +132,8 @@ def build(x: np.ndarray, lists: int, copies: int, margin: float, recall: float =
     """Fit on the sample; ratio is the least that lets sampled queries find `recall` of their nearest ones in it."""
     x = x.astype(np.float32)
     c = balanced_centroids(x, min(lists, len(x)))
-    order = np.argsort(distances(c, c), axis=1, kind="stable")
-    near = order[:, 1 : degree + 1] if len(c) > 1 else order
+    near = np.concatenate([np.argsort(distances(c[i : i + 512], c), axis=1, kind="stable")[:, : degree + 1] for i in range(0, len(c), 512)])
+    near = near[:, 1:] if len(c) > 1 else near
     rng = np.random.default_rng(seed)
     links = rng.integers(0, len(c), (len(c), 4))  # long links keep the graph in one piece
     links[:, 0] = (np.arange(len(c)) + 1) % len(c)
@@ -142,18 +145,19 @@ def build(x: np.ndarray, lists: int, copies: int, margin: float, recall: float =
     graph = np.where(repeat, np.arange(len(c))[:, None], graph)
     entries = np.unique(np.linspace(0, len(c) - 1, min(len(c), 16)).astype(int))
     index = Index(c, graph, entries)
-    probe = rng.choice(len(x), min(len(x), 400), replace=False)
-    d = distances(x[probe], x)
-    d[np.arange(len(probe)), probe] = np.inf
-    true = np.argsort(d, axis=1)[:, : min(FOUND, len(x) - 1)]
-    row, own = index.home(x, copies, margin)
-    member = np.zeros((len(x), len(c)), bool)
-    member[row, own] = True
-    far = np.sqrt(distances(x[probe], c))
-    relative = far / np.maximum(far.min(axis=1, keepdims=True), 1e-9) - 1
-    # the ratio at which each true neighbour is first reached
-    reach = np.where(member[true], relative[:, None, :], np.inf).min(axis=2) if true.size else np.zeros((1, 1))
-    index.ratio = float(np.quantile(reach, recall)) + 1e-6
+    reach = []
+    for i in rng.choice(len(x), min(len(x), 400), replace=False):
+        d = distances(x[i : i + 1], x)[0]
+        d[i] = np.inf
+        true = np.argpartition(d, min(FOUND, len(x) - 1) - 1)[: min(FOUND, len(x) - 1)] if len(x) > 1 else np.zeros(0, int)
+        far = np.sqrt(distances(x[i : i + 1], c))[0]
+        relative = far / max(float(far.min()), 1e-9) - 1
+        row, own = index.home(x[true], copies, margin)
+        # the ratio at which each true neighbour is first reached
+        first = np.full(len(true), np.inf)
+        np.minimum.at(first, row, relative[own])
+        reach.append(first)
+    index.ratio = float(np.quantile(np.concatenate(reach), recall)) + 1e-6 if len(x) > 1 else 0.0
     return index
 
 
@@ -170,21 +174,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int = FOUND, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, distance) of each query's k nearest others among x, exactly, in blocks."""
-    rows, ids, scores = [], [], []
+def nearest(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, distance) of the k different ids nearest to each row of q among the points x and their ids, exactly, in blocks."""
+    rows, found, scores = [], [], []
+    size = np.array([len(i) for i in ids])
+    flat, point = np.concatenate(ids), np.repeat(np.arange(len(ids)), size)
     step = max(1, block // max(1, x.size))
     for a in range(0, len(q), step):
-        d = ((q[a : a + step, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-        d[qid[a : a + step, None] == xid[None, :]] = np.inf
-        for i, own in enumerate(d):
-            most = np.partition(own, k - 1)[k - 1] if len(own) > k else np.inf
-            at = np.flatnonzero((own <= most) & np.isfinite(own))
-            at = at[np.lexsort((xid[at], own[at]))][:k]
-            rows += [a + i] * len(at)
-            ids.append(xid[at])
-            scores.append(np.sqrt(own[at]))
-    return np.array(rows, np.int64), np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(scores) if scores else np.zeros(0)
+        far = ((q[a : a + step, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+        for i, own in enumerate(far):
+            wanted = k
+            while True:  # an id with several vectors may fill places
+                most = np.partition(own, wanted - 1)[wanted - 1] if len(own) > wanted else np.inf
+                at = np.flatnonzero(own[point] <= most)
+                at = at[np.lexsort((flat[at], own[point[at]]))]
+                _, first = np.unique(flat[at], return_index=True)
+                if len(first) >= k or wanted >= len(own):
+                    break
+                wanted *= 2
+            at = at[np.sort(first)[:k]]
+            rows.append(np.full(len(at), a + i))
+            found.append(flat[at])
+            scores.append(np.sqrt(own[point[at]]))
+    return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(found) if found else np.zeros(0, np.int64), np.concatenate(scores) if scores else np.zeros(0)
+
+
+def points(rows: DataFrame, is_query, k: int) -> DataFrame:
+    """Different vectors: v, its key (first, h), its k least ids, and whether a row of it asks."""
+    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("at") <= k)
+    ids = ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    asking = rows.filter(is_query).select(F.col("v").alias("w")).distinct()
+    return ids.join(asking, ids.v == asking.w, "left").select("v", F.element_at("ids", 1).alias("first"), F.xxhash64("v").alias("h"), "ids", F.col("w").isNotNull().alias("asks"))
 
 
 def search(vectors: DataFrame, is_query, k: int = FOUND, per_list: int = 256, most_lists: int = 16_384, sample: int = 20_000, copies: int = 3, margin: float = 0.1, per_task: int = 8192) -> DataFrame:
@@ -192,14 +212,18 @@ def search(vectors: DataFrame, is_query, k: int = FOUND, per_list: int = 256, mo
     spark = vectors.sparkSession
     rows = stored(usable(vectors).dropDuplicates(["vec_id", "v"]), "vectors")
     found = "query_id bigint, rank int, vec_id bigint, score double"
-    n = rows.count()
-    if n < 2:
+    if rows.select("vec_id").limit(2).count() < 2:
         return spark.createDataFrame([], found)
-    picked = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).select("v").toArrow()["v"].combine_chunks()
+    held = stored(points(rows, is_query, k + 1), "points")
+    n = held.count()
+    share = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53) < sample / n
+    picked = held.filter(share | F.lit(n <= sample)).select("h", "v").toArrow().sort_by("h")["v"].combine_chunks()
+    if not len(picked):
+        picked = held.limit(1).select("v").toArrow()["v"].combine_chunks()
     index = build(_matrix(picked), max(1, min(n // per_list, most_lists, len(picked) // 8)), copies, margin)
     shared = spark.sparkContext.broadcast(index)
 
-    def deal(home: bool):
+    def deal(home: bool, names: list[str]):
         def run(batches):
             for whole in batches:
                 for at in range(0, whole.num_rows, 1024):
@@ -207,28 +231,39 @@ def search(vectors: DataFrame, is_query, k: int = FOUND, per_list: int = 256, mo
                     x = _matrix(batch.column("v")).astype(np.float32)
                     row, own = shared.value.home(x, copies, margin) if home else shared.value.lists(x)
                     took = batch.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), took.column("vec_id"), took.column("v")], names=["list", "vec_id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(took.column(c) for c in names)], names=["list", *names])
 
         return run
 
-    schema = "list int, vec_id bigint, v array<double>"
-    homes = stored(rows.mapInArrow(deal(True), schema), "postings")
+    key = "first bigint, h bigint, v array<double>"
+    homes = stored(held.select("first", "h", "v", "ids").mapInArrow(deal(True, ["first", "h", "v", "ids"]), f"list int, {key}, ids array<bigint>"), "postings")
+    asked = stored(held.filter("asks").select("first", "h", "v").mapInArrow(deal(False, ["first", "h", "v"]), f"list int, {key}"), "asked")
     # a row per list: at most `most_lists`
-    salts = homes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("salts"))
-    salted = lambda df: df.join(F.broadcast(salts), "list")
-    held = salted(homes).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int")).drop("salts")
-    asked = salted(rows.filter(is_query).mapInArrow(deal(False), schema)).select("list", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    sizes = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias(name))
+    salts = F.broadcast(sizes(homes, "held_salts").join(sizes(asked, "asked_salts"), "list"))
+
+    def salted(df: DataFrame, own: str, other: str, names: list[str]) -> DataFrame:
+        """Each row under a salt of its own side and all salts of the other."""
+        mine = F.pmod(F.xxhash64("first", "h"), F.col(f"{own}_salts")).cast("int")
+        return df.join(salts, "list").select("list", mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(f"{other}_salts") - 1)).alias(other), *names)
 
     def meet(key, queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(own):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        qid = queries["vec_id"].to_numpy()
-        at, ids, score = nearest(np.stack(queries["v"].to_numpy()), qid, np.stack(own["v"].to_numpy()), own["vec_id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": qid[at], "vec_id": ids, "score": score})
-
-    pairs = asked.groupBy("list", "salt").cogroup(held.groupBy("list", "salt")).applyInPandas(meet, "query_id bigint, vec_id bigint, score double")
-    once = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+            return pd.DataFrame({"first": [], "h": [], "vec_id": [], "score": []})
+        at, ids, score = nearest(np.stack(queries["v"].to_numpy()), np.stack(own["v"].to_numpy()), [np.asarray(i, np.int64) for i in own["ids"]], k + 1)
+        return pd.DataFrame({"first": queries["first"].to_numpy()[at], "h": queries["h"].to_numpy()[at], "vec_id": ids, "score": score})
+
+    by = ["list", "held", "asked"]
+    pairs = salted(asked, "asked", "held", ["first", "h", "v"]).groupBy(*by).cogroup(salted(homes, "held", "asked", ["first", "h", "v", "ids"]).groupBy(*by))
+    once = pairs.applyInPandas(meet, "first bigint, h bigint, vec_id bigint, score double").groupBy("first", "h", "vec_id").agg(F.min("score").alias("score"))
+    best = once.withColumn("at", F.row_number().over(Window.partitionBy("first", "h").orderBy("score", "vec_id"))).filter(F.col("at") <= k + 1)
+    listed = stored(best.groupBy(F.col("first").alias("its"), F.col("h").alias("its_h")).agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near")), "nearest")
+    # the rows that ask get their vector's list, without themselves
+    firsts = held.filter("asks").select(F.col("v").alias("w"), "first", "h").join(listed, (F.col("first") == F.col("its")) & (F.col("h") == F.col("its_h"))).select("w", "near")
+    asking = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "v")
+    theirs = asking.join(firsts, F.col("v") == F.col("w")).select("query_id", F.explode("near").alias("x")).select("query_id", "x.vec_id", "x.score").filter("vec_id <> query_id")
+    least = theirs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = least.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

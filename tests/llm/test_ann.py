@@ -54,3 +54,24 @@ def test_graph_search_finds_the_nearest_lists():
     ids, far = index.near(q, 16)
     true = np.argsort(ann.distances(q, index.centroids), axis=1)[:, 0]
     assert (ids[:, 0] == true).mean() > 0.97 and (np.diff(far[:, :8], axis=1) >= -1e-6).all()
+
+
+def test_equal_vectors_and_ids_with_several(spark):
+    """A vector that very many rows share, an id with several vectors and both sides dealt to salts: exact in one list."""
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=4).tolist()
+    rows = [(k, hot) for k in range(400)] + [(400 + k, rng.normal(size=4).tolist()) for k in range(300)]
+    rows += [(500, rng.normal(size=4).tolist()) for _ in range(30)] + [(7, hot)] * 20 + [(800, [x + 1e-3 * k for x in hot]) for k in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit(1)).withColumn("score", F.lit("x"))
+    true = brute(rows)
+    for size in (8192, 40):
+        got = {}
+        for r in ann.search(table, F.col("vec_id") % 100 == 0, per_list=10_000, per_task=size).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert set(got) == set(true)
+        for q, own in true.items():
+            best = {}
+            for i, d in brute(rows, k=2000)[q]:
+                best[i] = min(d, best.get(i, d))
+            expected = sorted(best.items(), key=lambda x: (x[1], x[0]))[:10]
+            assert [i for i, _ in got[q]] == [i for i, _ in expected] and np.allclose([s for _, s in got[q]], [d for _, d in expected])
