@@ -21,14 +21,25 @@ def tool_error(profile: Profile) -> Column:
     return F.when(F.col("result_status") == "error", F.array(kind)).otherwise(F.array().cast(NONE))
 
 
-def fabricated_auth_argument(profile: Profile) -> Column:
-    """One event for each sensitive argument whose text no observation up to this step held."""
+def _sensitive(profile: Profile) -> Column:
+    """The sensitive argument names of a step's tool."""
     names = F.array(*map(F.lit, profile.sensitive.get("*", ()))).cast(NONE)
     for tool, own in profile.sensitive.items():
         if tool != "*":
             names = F.when(F.col("tool") == tool, F.array_union(names, F.array(*map(F.lit, own)))).otherwise(names)
-    value = lambda k: F.element_at("arguments", k)
-    made_up = F.filter(names, lambda k: value(k).isNotNull() & (F.trim(value(k)) != "") & ~F.contains(F.col("seen"), value(k)))
+    return names
+
+
+def _value(name: Column) -> Column:
+    """A step's argument of that name, null where it is blank."""
+    value = F.element_at("arguments", name)
+    return F.when(F.trim(value) != "", value)
+
+
+def fabricated_auth_argument(profile: Profile) -> Column:
+    """One event for each sensitive argument whose text no observation up to this step held."""
+    late = lambda v: F.coalesce(F.element_at("first_seen", v), F.lit(2**62)) > F.col("seen_size")
+    made_up = F.filter(_sensitive(profile), lambda k: _value(k).isNotNull() & late(_value(k)))
     events = F.transform(made_up, lambda k: F.lit("fabricated_auth_argument"))
     return F.when((F.col("kind") == "tool_call") & F.col("arguments").isNotNull(), F.coalesce(events, F.array().cast(NONE))).otherwise(F.array().cast(NONE))
 
@@ -42,10 +53,21 @@ TAXONOMY: tuple[tuple[str, Detector], ...] = (("tool_error", tool_error), ("fabr
 TAXONOMY_VERSION = "taxonomy/1.0"
 
 
-def with_context(steps: DataFrame) -> DataFrame:
-    """steps with `seen`: the observations up to and with this step, joined by spaces."""
-    by = Window.partitionBy("trajectory_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("seen", F.array_join(F.collect_list(F.coalesce("observation", F.lit(""))).over(by), " "))
+def with_context(steps: DataFrame, profile: Profile) -> DataFrame:
+    """steps with what their sensitive arguments are held against.
+
+    All observations of an episode, joined by spaces, are searched once for each different value: first_seen maps it to
+    where its first occurrence ends, and seen_size is how far the observations up to and with a step reach.
+    """
+    said = F.coalesce("observation", F.lit(""))
+    reach = F.sum(F.length(said).cast("bigint") + 1).over(Window.partitionBy("trajectory_id").orderBy("idx")) - 1
+    values = F.array_compact(F.transform(_sensitive(profile), _value))
+    own = steps.select("trajectory_id", F.struct("idx", said.alias("said")).alias("at"), F.coalesce(values, F.array().cast(NONE)).alias("values"))
+    episodes = own.groupBy("trajectory_id").agg(F.array_sort(F.collect_list("at")).alias("ats"), F.array_distinct(F.flatten(F.collect_list("values"))).alias("values")).filter(F.size("values") > 0)
+    whole = episodes.select("trajectory_id", "values", F.array_join(F.transform("ats", lambda x: x["said"]), " ").alias("whole"))
+    ends = F.transform("values", lambda v: F.when(F.position(v, F.col("whole")) > 0, (F.position(v, F.col("whole")) - 1 + F.length(v)).cast("bigint")))
+    found = whole.select(F.col("trajectory_id").alias("of"), F.map_from_arrays("values", ends).alias("first_seen"))
+    return steps.withColumn("seen_size", reach).join(found, F.col("trajectory_id") == F.col("of"), "left").drop("of")
 
 
 def error_events(steps: DataFrame, taxonomy=TAXONOMY, profile: Profile = DEFAULT) -> DataFrame:
@@ -54,7 +76,8 @@ def error_events(steps: DataFrame, taxonomy=TAXONOMY, profile: Profile = DEFAULT
     steps: trajectory_id, idx, n_steps, step_cap_hit, kind, tool, arguments map<string,string> of string values,
     observation, result_status, error_type. Observations are gathered only where a detector needs them.
     """
-    rows = with_context(steps) if profile.sensitive and any(d is fabricated_auth_argument for _, d in taxonomy) else steps.withColumn("seen", F.lit(""))
+    needed = profile.sensitive and any(d is fabricated_auth_argument for _, d in taxonomy)
+    rows = with_context(steps, profile) if needed else steps.withColumns({"seen_size": F.lit(0).cast("bigint"), "first_seen": F.lit(None).cast("map<string,bigint>")})
     return rows.select("trajectory_id", F.col("idx").alias("step_index"), F.explode(F.concat(*[d(profile) for _, d in taxonomy])).alias("error_type"))
 
 
