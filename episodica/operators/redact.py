@@ -18,7 +18,8 @@ PATHS = ("observation", "output", "reasoning", "action", "arguments", "arguments
 
 def text_spans(texts: DataFrame, policy: r.Policy = r.DEFAULT) -> DataFrame:
     """(episode, ord, start, end, cls, value), a row per span. texts: episode, ord (a sortable place), text."""
-    return texts.select("episode", "ord", F.explode(r.find_spans(F.col("text"), policy)).alias("s")).select("episode", "ord", "s.*")
+    held = texts.filter(r.may_hold(F.col("text"), policy))
+    return held.select("episode", "ord", F.explode(r.find_spans(F.col("text"), policy)).alias("s")).select("episode", "ord", "s.*")
 
 
 def placeholder_index(spans: DataFrame) -> DataFrame:

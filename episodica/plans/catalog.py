@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import episodes, records
+from . import episodes, records, redacted
 
 PARTS = (episodes, records)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
-ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
+ORACLES = {name: sql for part in (*PARTS, redacted) for name, sql in part.ORACLES.items()}
