@@ -252,9 +252,21 @@ def split_disjoint(spark, sf_dir):
 DISJOINT = "select 'halves_disjoint' as rule, 'bad' as detail union all select 'halves_non_empty', 'empty'"
 
 
+def _event_half(episodes, which, seed):
+    """Tasks of a half: six tenths of all tasks, by their hash, train."""
+    n = episodes.select("task_id").distinct().count()
+    halves = splits.hash_split(episodes, n * 6 // 10, n - n * 6 // 10, seed)
+    return halves.filter(F.col("split") == which).select(F.col("task_id").cast("bigint").alias("task_id"))
+
+
 def _event_train(spark, sf_dir):
     episodes = t.event_episodes(t.event_steps(spark, sf_dir))
-    return episodes, episodes.select("task_id").distinct().filter("task_id % 2 = 0")
+    return episodes, _event_half(episodes, "train", SEED)
+
+
+def _half_sql(which: str, seed: int) -> str:
+    """Tasks of a half, as a query over episodes."""
+    return f"""(select task_id from (select task_id, row_number() over (order by sha256('{seed}:' || task_id), task_id) <= count(*) over () * 6 // 10 as train from (select distinct task_id from episodes)) where {'' if which == 'train' else 'not '}train)"""
 
 
 def corpus_eligible(spark, sf_dir):
@@ -263,7 +275,7 @@ def corpus_eligible(spark, sf_dir):
     return rows.select("trajectory_id", "task_id", "mode")
 
 
-ELIGIBLE = f"""with {EVENTS}, el as (select * from episodes where task_id % 2 = 0), ok as (select task_id from el group by 1 having count(distinct mode) = 2) select trajectory_id, task_id, mode from el where task_id in (select task_id from ok)"""
+ELIGIBLE = f"""with {EVENTS}, el as (select * from episodes where task_id in {_half_sql('train', SEED)}), ok as (select task_id from el group by 1 having count(distinct mode) = 2) select trajectory_id, task_id, mode from el where task_id in (select task_id from ok)"""
 
 
 def corpus_pass_rates(spark, sf_dir):
@@ -271,12 +283,13 @@ def corpus_pass_rates(spark, sf_dir):
     return corpus.pass_rates(corpus.eligible(episodes, train))
 
 
-PASS_RATES = f"with {EVENTS} select mode, round_even(avg(success::int), 6) as pass_rate, count(*) as episodes from episodes where task_id % 2 = 0 group by 1"
+PASS_RATES = f"with {EVENTS} select mode, round_even(avg(success::int), 6) as pass_rate, count(*) as episodes from episodes where task_id in {_half_sql('train', SEED)} group by 1"
 
 
 def corpus_contamination(spark, sf_dir):
+    """Train tasks of one split that are test tasks of another."""
     episodes, train = _event_train(spark, sf_dir)
-    return corpus.contamination(train, episodes.select("task_id").filter("task_id % 3 = 0"))
+    return corpus.contamination(train, _event_half(episodes, "test", SEED + 1))
 
 
 def task_outcome(spark, sf_dir):
@@ -350,7 +363,7 @@ ORACLES = {
     "step_contiguity": CONTIGUITY, "quality_report": QUALITY, "token_completeness": TOKENS,
     "split_hash_assign": f"with {_SPLIT} select task_id, case when r <= 60 then 'train' else 'test' end as split from hs where r <= 100",
     "split_disjoint": DISJOINT, "corpus_eligible": ELIGIBLE, "corpus_pass_rates": PASS_RATES,
-    "corpus_contamination": "select distinct user_id as task_id from events where user_id % 6 = 0",
+    "corpus_contamination": f"with {EVENTS} select task_id from {_half_sql('train', SEED)} where task_id in {_half_sql('test', SEED + 1)}",
     "task_outcome": f"with {EVENTS}, {OUTCOMES} select * from oc",
     "sample_random_n": f"with {EVENTS}, {OUTCOMES} select task_id from oc order by {U}, task_id limit 40", "sample_stratified": STRATIFIED,
     "sample_failure_weighted": f"with {EVENTS}, {OUTCOMES} select task_id from oc order by -ln({U}) / case when success then 1.0 else 2.0 end, task_id limit 40",
