@@ -7,7 +7,8 @@ Keys that only one document has are dropped. Of runs with equal content all but
 go whole. The others, where different runs share a key, are brought together with their bytes by key; each shard
 of them gets a suffix array by induced sorting, its permuted common prefixes tell which windows are equal, and the
 least document of each such set wins. So an exact copy costs one row a run, and only the edges of repeated
-stretches are sorted.
+stretches are sorted. A key that very many runs share is dealt again by the least hash of 32-byte grams, and at
+last of whole windows, so no shard outgrows a task.
 
 Runs count as equal if a 64-bit hash of their bytes and the 64-bit key agree; what suffix arrays decide is compared by its bytes.
 
@@ -20,6 +21,7 @@ ignored, and none can clash with the operator's own, which have names of their o
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,24 +34,31 @@ from .common import private, read_table, slices, stored, text_bytes
 from .suffix_array import common_prefixes, suffix_array
 
 WIDTH = 50
-GRAM = 16
+GRAMS = (16, 32, 50)  # bytes in a gram, by level
 LONGEST = 64  # windows in a run
 PLACE = 128  # a run's first window, number of windows and whether it is settled in one long
 SHARD = 1 << 20
-CROWD = 1 << 16  # runs of one key beyond which its windows are matched one by one
+CROWD = 1 << 12  # runs of one key beyond which they are dealt again by longer grams
+RUN = "m bigint, doc_id bigint, th bigint, at int, content binary"
 SPANS = "doc_id bigint, th bigint, start bigint, length bigint"
 
 
-def window_keys(raw: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """For each window of raw, the least hash of its grams."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def window_keys(raw: np.ndarray, width: int = WIDTH, gram: int = GRAMS[0]) -> np.ndarray:
+    """For each window of raw, the least hash of its grams, of 16 bytes at least."""
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
-    grams = len(raw) - GRAM + 1
-    least = eight[:grams] * np.uint64(0x9E3779B97F4A7C15) ^ eight[GRAM - 8 : GRAM - 8 + grams] * np.uint64(0xC2B2AE3D27D4EB4F)
-    least ^= least >> np.uint64(29)
-    least *= np.uint64(0xBF58476D1CE4E5B9)
-    least ^= least >> np.uint64(32)
-    wanted, reach = width - GRAM + 1, 1
+    grams = len(raw) - gram + 1
+    least = _mixed(eight[:grams] * np.uint64(0x9E3779B97F4A7C15) ^ eight[gram - 8 : gram - 8 + grams] * np.uint64(0xC2B2AE3D27D4EB4F))
+    for k in range(8, gram - 8, 8):  # what lies between the first and the last eight
+        least = _mixed(least * np.uint64(0x9E3779B97F4A7C15) ^ eight[k : k + grams] * np.uint64(0xC2B2AE3D27D4EB4F))
+    wanted, reach = width - gram + 1, 1
     while reach < wanted:
         step = min(reach, wanted - reach)
         least = np.minimum(least[:-step], least[step:])
@@ -57,12 +66,12 @@ def window_keys(raw: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return least
 
 
-def window_runs(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_runs(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first window, windows, key) of every run; rows are raw[offsets[i]:offsets[i+1]]."""
     none = np.zeros(0, np.int64)
     if len(raw) < width:
         return none, none, none, none
-    key = window_keys(raw, width)
+    key = window_keys(raw, width, gram)
     row = np.searchsorted(offsets, np.arange(len(key)), side="right") - 1
     at = np.flatnonzero(np.arange(len(key)) + width <= offsets[row + 1])
     if not len(at):
@@ -158,16 +167,21 @@ def _content(batches, width: int):
             yield pa.RecordBatch.from_arrays([fields.field("m"), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(at), pa.array(parts, pa.binary())], names=["m", "doc_id", "th", "at", "content"])
 
 
-def _windows(batches, width: int):
-    """Each window of each run, by its bytes."""
+def _dealt_again(batches, width: int, gram: int):
+    """Runs of crowded keys cut where the least hash of longer grams changes, under their old and new key, with their bytes."""
     for whole in batches:
-        for batch in slices(whole, "content", 1 << 18):
-            parts = batch.column("content").to_pylist()
-            n = np.array([len(p) - width + 1 for p in parts])
-            take = pa.array(np.repeat(np.arange(len(parts)), n))
-            start = np.repeat(batch.column("at").to_numpy().astype(np.int64), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            each = [p[k : k + width] for p, m in zip(parts, n.tolist()) for k in range(m)]
-            yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary()), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(start)], names=["w", "doc_id", "th", "start"])
+        for batch in slices(whole, "content", 1 << 20):
+            raw, offsets = text_bytes(batch.column("content"))
+            row, at, n, key = window_runs(raw, offsets, width, gram)
+            if not len(row):
+                continue
+            data, first = raw.tobytes(), at + offsets[row]
+            parts = [data[a:b] for a, b in zip(first.tolist(), (first + n + width - 1).tolist())]
+            content = np.array([xxhash.xxh64_intdigest(p) for p in parts], np.uint64).view(np.int64)
+            old = batch.column("m").to_numpy()[row]
+            take = pa.array(row)
+            place = batch.column("at").to_numpy().astype(np.int32)[row] + at.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key ^ old * np.int64(-7046029254386353131)), pa.array(content), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(place), pa.array(parts, pa.binary())], names=["m", "sh", "doc_id", "th", "at", "content"])
 
 
 def shard_spans(parts: list[bytes], docs: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,13 +244,39 @@ def _shards(batches, width: int):
         yield spans(pa.Table.from_batches(held))
 
 
+def _copies(rows: DataFrame, length, width: int) -> DataFrame:
+    return rows.select("doc_id", "th", F.col("at").cast("bigint").alias("start"), (length + (width - 1)).cast("bigint").alias("length"))
+
+
+def _sorted_edges(runs: DataFrame, width: int) -> DataFrame:
+    """Spans of runs (RUN) by suffix arrays, shard by shard of whole keys."""
+    return runs.repartition("m").sortWithinPartitions("m").mapInArrow(lambda it: _shards(it, width), SPANS)
+
+
+def _crowded(runs: DataFrame, width: int, crowd: int, level: int) -> list[DataFrame]:
+    """Spans of runs (RUN) of crowded keys, dealt again by longer grams until no key is crowded.
+
+    Here very many runs may be equal, so they are counted with partial aggregation and not in windows. The last
+    grams are as long as a window: then all runs of a key are equal, and nothing is left to sort.
+    """
+    dealt = stored(runs.mapInArrow(lambda it: _dealt_again(it, width, min(GRAMS[level], width)), "m bigint, sh bigint, doc_id bigint, th bigint, at int, content binary"), f"dealt{level}")
+    alike = stored(dealt.groupBy("m", "sh").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")), f"alike{level}")
+    keys = alike.groupBy("m").agg(F.min("own").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("contents"), F.sum("n").alias("runs"))
+    seen = dealt.join(alike.select("m", "sh", "own"), ["m", "sh"])
+    copies = _copies(seen.filter("doc_id > own"), F.octet_length("content") - (width - 1), width)
+    last = level + 1 == len(GRAMS)
+    met = keys.filter("contents > 1 and lo < hi").select("m", (F.lit(not last) & (F.col("runs") > crowd)).alias("crowded"))
+    left = stored(seen.filter("doc_id = own").join(met, "m").select("m", "doc_id", "th", "at", "content", "crowded"), f"left{level}")
+    again = left.filter("crowded").drop("crowded")
+    out = [copies, _sorted_edges(left.filter("not crowded").drop("crowded"), width)]
+    return out if last or again.isEmpty() else out + _crowded(again, width, crowd, level + 1)
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """(doc_id, th, start, length) in bytes of stretches to remove, which may overlap; th is xxhash64 of the text.
 
-    Keys of more than `crowd` runs would outgrow a shard; their windows are grouped by their bytes instead, with
-    partial aggregation, so no task holds such a key.
+    Keys of more than `crowd` runs would outgrow a shard; their runs are dealt again by longer grams.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
     runs = rows.mapInArrow(lambda it: _runs(it, width), "m bigint, sh bigint, doc_id bigint, th bigint, place bigint")
     alike, met = Window.partitionBy("m", "sh"), Window.partitionBy("m")
@@ -246,21 +286,17 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> D
     kept = seen.filter(copy | ((F.col("lo") < F.col("hi")) & F.col("several")))
     at, n = F.shiftright("place", 8).cast("int"), (F.shiftright("place", 1) % PLACE).cast("int")
     kept = stored(kept.select(F.when(~copy, F.col("m")).alias("m"), "doc_id", "th", at.alias("at"), n.alias("n"), copy.alias("copy"), "crowded"), "runs")
-    copies = kept.filter("copy").select("doc_id", "th", F.col("at").cast("bigint").alias("start"), (F.col("n") + (width - 1)).cast("bigint").alias("length"))
 
     def content(part: DataFrame) -> DataFrame:
         wanted = part.groupBy(F.col("doc_id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_set(F.struct("m", "at", "n")).alias("runs"))
         own = rows.join(wanted, (rows.doc_id == F.col("of")) & (rows.th == F.col("of_th"))).select("doc_id", "th", "text", "runs")
-        return own.mapInArrow(lambda it: _content(it, width), "m bigint, doc_id bigint, th bigint, at int, content binary")
+        return own.mapInArrow(lambda it: _content(it, width), RUN)
 
-    edges = content(kept.filter("not copy and not crowded")).repartition("m").sortWithinPartitions("m").mapInArrow(lambda it: _shards(it, width), SPANS)
+    edges = [_sorted_edges(content(kept.filter("not copy and not crowded")), width)]
     crowds = kept.filter("not copy and crowded")
     if not crowds.isEmpty():
-        windows = content(crowds).mapInArrow(lambda it: _windows(it, width), "w binary, doc_id bigint, th bigint, start bigint")
-        least = windows.groupBy("w").agg(F.min("doc_id").alias("lo"))
-        edges = edges.unionByName(windows.join(least, "w").filter("doc_id > lo").select("doc_id", "th", "start", F.lit(width).cast("bigint").alias("length")))
-    edges = stored(edges, "edges")
-    return copies.unionByName(edges)
+        edges += _crowded(content(crowds), width, crowd, 1)
+    return _copies(kept.filter("copy"), F.col("n"), width).unionByName(stored(reduce(DataFrame.unionByName, edges), "edges"))
 
 
 def remaining(text: str | None, starts, lengths) -> tuple[bytes, int, int]:
