@@ -200,9 +200,9 @@ from (select o_orderpriority, count(*) filter (o_orderstatus = 'F') as k, count(
 
 
 def percentile_ci(spark, sf_dir):
-    rows = t.table(spark, sf_dir, "events").groupBy("event_type")
-    low, high = (F.round(F.percentile("value", F.lit(p)), 6) for p in (0.025, 0.975))
-    return rows.agg(low.alias("low"), high.alias("high"))
+    found = stats.exact_percentiles(t.table(spark, sf_dir, "events"), "event_type", "value", (0.025, 0.975))
+    low, high = (F.round(F.max(F.when(F.col("percent") == p, F.col("value"))), 6) for p in (0.025, 0.975))
+    return found.groupBy("event_type").agg(low.alias("low"), high.alias("high"))
 
 
 PERCENTILE = "select event_type, round(quantile_cont(value, 0.025), 6) as low, round(quantile_cont(value, 0.975), 6) as high from events group by 1"
@@ -221,7 +221,7 @@ select task_id, round(t - b, 9) as delta from m where t is not null and b is not
 
 
 def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap_delta(paired_task_delta(spark, sf_dir), resamples=2000, seed=11)
+    return stats.bootstrap_delta(paired_task_delta(spark, sf_dir), seed=11)
 
 
 def _rates(spark, sf_dir):
