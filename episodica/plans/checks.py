@@ -251,14 +251,70 @@ def schema_files(spark, sf_dir):
 
 FILES = "select lower(r_name) || '/' || r_regionkey || '.0' as version, lower(r_name) || '-' || r_regionkey || '.0.json' as file from region"
 
+def _records(spark, sf_dir, size: int = 0):
+    """A record for each conversation: tenant_id, source_format, raw, position. Faults go by conv_id % 9 (none: 0, 7, 8)."""
+    turns = t.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    fault = F.col("conv_id") % 9
+    tokens = F.struct(F.lit(1).alias("input_total"), F.when(fault != 1, 0).alias("input_cached"), F.lit(2).alias("output_visible"), F.lit(0).alias("output_tool_args"), F.lit(0).alias("output_reasoning"))
+    step = lambda s, k: F.struct(k.alias("index"), F.struct(F.lit("message").alias("kind"), s["text"].alias("text")).alias("observation"), F.struct(F.lit("").alias("text")).alias("output"), F.struct(F.lit("noop").alias("kind")).alias("action"), tokens.alias("tokens"))
+    n = F.size("turns")
+    record = F.struct(
+        F.lit("trajectory/1.0").alias("schema_version"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("trajectory_id"), F.lit("own").alias("tenant_id"), F.lit("chat").alias("domain"), F.col("conv_id").cast("string").alias("task_id"), F.lit("train").alias("split"), F.lit(3).alias("seed"),
+        F.lit("2026-01-01T00:00:00Z").alias("started_at"), F.lit("2026-01-01T00:01:00Z").alias("ended_at"), F.struct(F.lit("m").alias("model"), F.when(fault == 5, "maybe").otherwise("think").alias("mode"), F.struct(F.lit(0.0).alias("temperature"), F.lit(1.0).alias("top_p")).alias("decoding")).alias("actor"),
+        F.struct(F.lit("h").alias("name"), F.lit("1").alias("version"), F.sha2(F.lit("p"), 256).alias("system_prompt_sha256"), F.lit(9).alias("max_steps")).alias("harness"), F.transform("turns", step).alias("steps"),
+        F.struct(F.when(fault != 5, 0.5).alias("reward"), F.lit(True).alias("success"), F.lit("done").alias("termination"), n.alias("steps_used"), F.lit(False).alias("step_cap_hit")).alias("outcome"),
+        F.struct((2 * n).alias("output_tokens"), F.lit(0).alias("output_reasoning_tokens"), n.alias("input_tokens"), F.lit(0).alias("input_cached_tokens"), n.alias("turns")).alias("totals"),
+        F.struct(F.lit(False).alias("applied"), F.lit(redaction.POLICY_VERSION).alias("policy_version")).alias("redaction"), F.struct(F.lit("t").alias("source"), F.sha2(F.lit("x"), 256).alias("content_sha256")).alias("provenance"),
+        F.when(fault == 2, 1).alias("zeal"), F.when(fault == 2, 2).alias("extra"), F.when(fault == 3, F.repeat(F.lit("x"), size)).alias("padding"),
+    )
+    return turns.select(F.lit("tenant").alias("tenant_id"), F.lit("harness_run").alias("source_format"), F.to_json(record).alias("raw"), F.col("conv_id").alias("position"))
+
+
+def ingest_details(spark, sf_dir):
+    """The worst rule a record breaks, its field, up to five broken rules, and warnings: token keys, unknown fields, size, split, several at once."""
+    rows = _records(spark, sf_dir, 200_000)
+    halves = rows.select(F.col("position").cast("string").alias("task_id"), F.when(F.col("position") % 9 == 4, "test").otherwise("train").alias("split"))
+    out = batch.normalize(rows, halves, max_bytes=150_000, whole=True)
+    return out.select("position", F.coalesce("rule", F.lit("-")).alias("rule"), F.coalesce("field_path", F.lit("-")).alias("field_path"), F.when(F.col("position") % 9 == 5, F.col("detail")).otherwise("-").alias("detail"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+DETAILS = """select distinct conv_id as position, case conv_id % 9 when 1 then 'token_keys_present' when 3 then 'size_cap' when 4 then 'split_matches_artifact' when 5 then 'reward_present' else '-' end as rule,
+  case conv_id % 9 when 1 then 'steps.tokens' when 4 then 'split' when 5 then 'outcome.reward' else '-' end as field_path, case conv_id % 9 when 5 then 'outcome.reward: reward_present; actor.mode: actor_mode_valid' else '-' end as detail,
+  case conv_id % 9 when 2 then 'dropped unknown top-level field: extra; dropped unknown top-level field: zeal' when 3 then 'dropped unknown top-level field: padding' else '' end as warnings from conversations"""
+
+
+def ingest_store(spark, sf_dir):
+    """Outcomes against a store that holds every third sound record; broken records are never duplicates."""
+    rows = _records(spark, sf_dir)
+    sound = batch.ingest(rows, whole=True).filter("status = 'accepted'")
+    held = sound.filter("position % 3 = 0").select("tenant_id", "domain", "content_sha256")
+    return batch.outcome_counts(batch.ingest(rows, held, whole=True))
+
+
+STORE = """with c as (select distinct conv_id from conversations)
+select count(*) filter (conv_id % 9 not in (1, 5) and conv_id % 3 <> 0) as accepted, count(*) filter (conv_id % 9 not in (1, 5) and conv_id % 3 = 0) as duplicate, count(*) filter (conv_id % 9 in (1, 5)) as quarantined from c"""
+
+
+def metadata_rows(spark, sf_dir):
+    """The flat row of each accepted record, under the batch's tenant."""
+    accepted = batch.ingest(_records(spark, sf_dir), whole=True).filter("status = 'accepted'")
+    rows = batch.metadata(batch.trajectories(accepted))
+    return rows.select("trajectory_id", "tenant_id", "domain", "task_id", "split", "seed", "actor_model", "actor_mode", "reward", "success", "termination", "steps_used", "step_cap_hit", "output_tokens", "stalled")
+
+
+METADATA = """select 'c' || conv_id as trajectory_id, 'tenant' as tenant_id, 'chat' as domain, conv_id::varchar as task_id, 'train' as split, 3::bigint as seed, 'm' as actor_model, 'think' as actor_mode, 0.5::double as reward, true as success, 'done' as termination,
+  count(*) as steps_used, false as step_cap_hit, 2 * count(*) as output_tokens, false as stalled from conversations where conv_id % 9 not in (1, 5) group by conv_id"""
+
 QUERIES = {
     "fabricated_arguments": fabricated_arguments, "error_frequency_ranked": error_frequency_ranked, "ngram_top": ngram_top, "contrast_ranked": contrast_ranked, "contrast_status": contrast_status, "stall_defaults": stall_defaults,
     "gap_rendered": gap_rendered, "interval_flags": interval_flags, "reasoning_premium": reasoning_premium, "quality_breaches": quality_breaches, "span_recall": span_recall, "corpus_no_think": corpus_no_think,
     "visible_rewards": visible_rewards, "store_keys": store_keys, "content_hash": content_hash, "profile_domains": profile_domains, "schema_changes": schema_changes, "schema_files": schema_files,
+    "ingest_details": ingest_details, "ingest_store": ingest_store, "metadata_rows": metadata_rows,
 }
 
 ORACLES = {
     "fabricated_arguments": FABRICATED, "error_frequency_ranked": RANKED, "ngram_top": TOP, "contrast_ranked": CONTRAST, "contrast_status": STATUS, "stall_defaults": STALLS,
     "gap_rendered": RENDERED, "interval_flags": FLAGS, "reasoning_premium": PREMIUM, "quality_breaches": BREACHES, "span_recall": RECALL, "corpus_no_think": NO_THINK,
     "visible_rewards": VISIBLE, "store_keys": KEYS, "content_hash": HASHES, "profile_domains": DOMAINS, "schema_changes": CHANGES, "schema_files": FILES,
+    "ingest_details": DETAILS, "ingest_store": STORE, "metadata_rows": METADATA,
 }
