@@ -1,8 +1,9 @@
 """Operator 1, approximate nearest neighbours in balanced posting lists.
 
-Centroids are fitted on a bounded sample (about ``sample`` vectors, by the hash of their values) by k-means; lists that
-hold more than their share of the sample are split again, so the lists are balanced. Their number grows with the vectors, up to an
-eighth of the sample. A graph joins each centroid to its
+Centroids are fitted on a bounded sample by k-means; lists that
+hold more than their share of the sample are split again, so the lists are balanced. There is a list for every ``per_list`` points, up to
+``most_lists``; the sample has about ``sample`` vectors, by the hash of their values, and eight for each list where these are many, up
+to ``most_sample``. A graph joins each centroid to its
 nearest ones and a best-first beam search on it, in memory, finds the centroids near a vector. Every vector is
 indexed: in its nearest list and, where it lies near a boundary, in up to ``copies`` lists whose centroids are
 at most (1 + margin) times as far. A query searches the lists whose centroids are at most (1 + ratio) times as far as its
@@ -39,6 +40,11 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None, :], 0)
 
 
+def assigned(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest row of c for each row of x, in blocks."""
+    return np.concatenate([distances(x[i : i + 2048], c).argmin(axis=1) for i in range(0, len(x), 2048)])
+
+
 @dataclass
 class Index:
     centroids: np.ndarray
@@ -98,7 +104,7 @@ class Index:
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = distances(x, c).argmin(axis=1)
+        near = assigned(x, c)
         size = np.bincount(near, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -116,9 +122,11 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 8, slack: float = 2.
         own = todo.pop()
         parts = min(len(own), k if own is x else 2)
         c = _kmeans(own, parts, rounds, rng)
-        near = distances(own, c).argmin(axis=1)
+        near = assigned(own, c)
+        order = np.argsort(near, kind="stable")
+        ends = np.searchsorted(near[order], np.arange(parts + 1))
         for j in range(parts):
-            mine = own[near == j]
+            mine = own[order[ends[j] : ends[j + 1]]]
             if not len(mine):
                 continue
             if len(mine) > most and len(mine) < len(own) and (mine != mine[0]).any():
@@ -207,7 +215,7 @@ def points(rows: DataFrame, is_query, k: int) -> DataFrame:
     return ids.join(asking, ids.v == asking.w, "left").select("v", F.element_at("ids", 1).alias("first"), F.xxhash64("v").alias("h"), "ids", F.col("w").isNotNull().alias("asks"))
 
 
-def search(vectors: DataFrame, is_query, k: int = FOUND, per_list: int = 256, most_lists: int = 16_384, sample: int = 20_000, copies: int = 3, margin: float = 0.1, per_task: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = FOUND, per_list: int = 256, most_lists: int = 16_384, sample: int = 20_000, most_sample: int = 131_072, copies: int = 3, margin: float = 0.1, per_task: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that is_query (a column over vec_id) picks."""
     spark = vectors.sparkSession
     rows = stored(usable(vectors).dropDuplicates(["vec_id", "v"]), "vectors")
@@ -216,6 +224,7 @@ def search(vectors: DataFrame, is_query, k: int = FOUND, per_list: int = 256, mo
         return spark.createDataFrame([], found)
     held = stored(points(rows, is_query, k + 1), "points")
     n = held.count()
+    sample = max(sample, min(8 * (n // per_list), most_sample))
     share = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53) < sample / n
     picked = held.filter(share | F.lit(n <= sample)).select("h", "v").toArrow().sort_by("h")["v"].combine_chunks()
     if not len(picked):
