@@ -2,11 +2,13 @@
 
 A text equals the run of its white-space-separated chunks to this vocabulary: white space is dropped and
 every match of the pre-tokenizer is encoded on its own. So distinct chunks are encoded once per worker and
-kept in a bounded cache. Texts in which a chunk could read differently are encoded whole.
+kept in a bounded cache. Texts in which a chunk could read differently are encoded whole, and so are all texts where a
+vocabulary's file has another normalizer or pre-tokenizer than this one's.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -24,6 +26,9 @@ CACHE = 400_000
 UNUSUAL = r"<\||[\x{1c}-\x{1f}\x{130}\x{250}-\x{10ffff}]"
 #: Stops at the end of a word are matches of their own to the pre-tokenizer.
 TAIL = r"([\pL\pN])([.,;:!?]+)(\s|$)"
+#: The settings of a vocabulary file under which texts may be encoded by chunks.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Stands between chunks that are encoded together; one id, which only a chunk with this mark can give.
 MARK = "^"
 _WORKER: dict[str, Encoder] = {}
@@ -38,6 +43,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     def __init__(self, path: str, end_id: int = END_ID, cache: int = CACHE):
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        self.by_chunk = held.get("normalizer") == NORMALIZER and held.get("pre_tokenizer") == PRE_TOKENIZER
         self.end = end_id
         self.limit = cache
         self.known: dict[str, bytes] = {}
@@ -65,7 +73,9 @@ class Encoder:
         """Ids of all texts end to end (uint32), each text's closed by the end id, and n+1 offsets; null is empty."""
         n = len(column)
         column = pc.fill_null(column, "").cast(pa.large_string())
-        unusual = pc.match_substring_regex(column, UNUSUAL).to_numpy(zero_copy_only=False).astype(bool)
+        unusual = np.array(pc.match_substring_regex(column, UNUSUAL), bool)
+        if not self.by_chunk:
+            unusual[:] = True
         if unusual.any():
             plain = pc.if_else(pa.array(unusual), pa.scalar("", pa.large_string()), column)
         else:
