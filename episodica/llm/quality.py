@@ -45,6 +45,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     odd = (MEMBER["mark"] | MEMBER["call"])[raw]
     marked = odd.copy()
     marked[1:] &= ~odd[:-1]
+    marked[offsets[:-1][size > 0]] = odd[offsets[:-1][size > 0]]  # a run ends with its text
     per_word = np.maximum(words, 1)
     rest = np.zeros((n, 5))
     for i, text in enumerate(column.to_pylist()):
