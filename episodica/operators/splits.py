@@ -110,3 +110,34 @@ def constraint_violations(splits: DataFrame) -> DataFrame:
     shared = splits.filter(F.arrays_overlap("train", "test")).select(F.lit("halves_disjoint").alias("rule"), F.col("sha256").alias("detail"))
     again = splits.groupBy("sha256").count().filter("count > 1").select(F.lit("unique_sha256").alias("rule"), F.col("sha256").alias("detail"))
     return empty.unionByName(shared).unionByName(again)
+
+
+SPLIT_ROW = "sha256 string, domain string, strategy string, seed bigint, train array<string>, test array<string>, notes string"
+
+
+def insert_split(spark, split: Split, root: str) -> None:
+    """Append a verified split to the table of splits; one that is stored already is left."""
+    split.verify()
+    if get_split(spark, root, split.sha256) is None:
+        insert_raw(spark, asdict(split), root)
+
+
+def insert_raw(spark, row: dict, root: str) -> None:
+    """Append a row as it is, for what other programs wrote; only its constraints are checked."""
+    one = spark.createDataFrame([tuple(row[f.split()[0]] for f in SPLIT_ROW.split(", "))], SPLIT_ROW)
+    if found := constraint_violations(one.select("sha256", "train", "test")).first():
+        raise ValueError(f"{found['rule']} is broken by {found['detail']}")
+    one.write.mode("append").parquet(f"{root}/splits")
+
+
+def get_split(spark, root: str, sha256: str) -> Split | None:
+    """The stored split of that address, verified; None where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/splits")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    row = spark.read.schema(SPLIT_ROW).parquet(f"{root}/splits").filter(F.col("sha256") == sha256).first()
+    if row is None:
+        return None
+    split = Split(row["domain"], row["strategy"], row["seed"], tuple(row["train"]), tuple(row["test"]), row["notes"], row["sha256"])
+    split.verify()
+    return split

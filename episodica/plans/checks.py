@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import profiles, redaction, stats
-from ..operators import contrast, corpus, errors, ngrams, quality, redact, splits, stalls
+from ..operators import constraints, contrast, corpus, errors, ngrams, quality, redact, splits, stalls
 from ..schema import breaking_changes, schema_filename
 from ..sources import batch
 from ..sources import tables as t
@@ -305,16 +305,34 @@ def metadata_rows(spark, sf_dir):
 METADATA = """select 'c' || conv_id as trajectory_id, 'tenant' as tenant_id, 'chat' as domain, conv_id::varchar as task_id, 'train' as split, 3::bigint as seed, 'm' as actor_model, 'think' as actor_mode, 0.5::double as reward, true as success, 'done' as termination,
   count(*) as steps_used, false as step_cap_hit, 2 * count(*) as output_tokens, false as stalled from conversations where conv_id % 9 not in (1, 5) group by conv_id"""
 
+def constraint_violations(spark, sf_dir):
+    """Orders as metadata rows of which some break a rule: no reward, odd splits and modes, negative steps, unknown tenants and domains, repeated content."""
+    k = F.col("o_orderkey")
+    rows = t.table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("trajectory_id"), F.concat(F.lit("t"), (F.col("o_custkey") % 7).cast("string")).alias("tenant_id"), F.when(k % 29 == 0, "nowhere").otherwise("shop").alias("domain"), F.col("o_custkey").cast("string").alias("task_id"),
+        F.when(k % 31 == 0, "dev").when(k % 37 > 0, "train").alias("split"), F.lit("m").alias("actor_model"), F.when(k % 41 == 0, "maybe").otherwise("think").alias("actor_mode"), F.lit("1").alias("harness_version"), F.when(k % 43 > 0, 1.0).alias("reward"), F.lit(True).alias("success"),
+        F.when(k % 47 == 0, -1).otherwise(3).alias("steps_used"), F.floor(k / 2).cast("string").alias("content_sha256"),
+    )
+    tenants = spark.createDataFrame([(f"t{i}",) for i in range(6)], "tenant_id string")
+    found = constraints.violations(rows, tenants, spark.createDataFrame([("shop",)], "domain string"))
+    return found.select("rule", F.col("trajectory_id").cast("bigint").alias("o_orderkey"))
+
+
+BROKEN = """with o as (select o_orderkey as k, o_custkey % 7 as tenant, k % 29 = 0 as nowhere, k // 2 as content from orders),
+again as (select tenant, nowhere, content from o group by all having count(*) > 1)
+select 'refers:tenant_id' as rule, k as o_orderkey from o where tenant = 6 union all select 'refers:domain', k from o where nowhere union all select 'one_of:split', k from o where k % 31 = 0 union all select 'not_null:split', k from o where k % 31 <> 0 and k % 37 = 0
+union all select 'one_of:actor_mode', k from o where k % 41 = 0 union all select 'not_null:reward', k from o where k % 43 = 0 union all select 'not_negative:steps_used', k from o where k % 47 = 0 union all select 'unique:content', k from o semi join again using (tenant, nowhere, content)"""
+
 QUERIES = {
     "fabricated_arguments": fabricated_arguments, "error_frequency_ranked": error_frequency_ranked, "ngram_top": ngram_top, "contrast_ranked": contrast_ranked, "contrast_status": contrast_status, "stall_defaults": stall_defaults,
     "gap_rendered": gap_rendered, "interval_flags": interval_flags, "reasoning_premium": reasoning_premium, "quality_breaches": quality_breaches, "span_recall": span_recall, "corpus_no_think": corpus_no_think,
     "visible_rewards": visible_rewards, "store_keys": store_keys, "content_hash": content_hash, "profile_domains": profile_domains, "schema_changes": schema_changes, "schema_files": schema_files,
-    "ingest_details": ingest_details, "ingest_store": ingest_store, "metadata_rows": metadata_rows,
+    "ingest_details": ingest_details, "ingest_store": ingest_store, "metadata_rows": metadata_rows, "constraint_violations": constraint_violations,
 }
 
 ORACLES = {
     "fabricated_arguments": FABRICATED, "error_frequency_ranked": RANKED, "ngram_top": TOP, "contrast_ranked": CONTRAST, "contrast_status": STATUS, "stall_defaults": STALLS,
     "gap_rendered": RENDERED, "interval_flags": FLAGS, "reasoning_premium": PREMIUM, "quality_breaches": BREACHES, "span_recall": RECALL, "corpus_no_think": NO_THINK,
     "visible_rewards": VISIBLE, "store_keys": KEYS, "content_hash": HASHES, "profile_domains": DOMAINS, "schema_changes": CHANGES, "schema_files": FILES,
-    "ingest_details": DETAILS, "ingest_store": STORE, "metadata_rows": METADATA,
+    "ingest_details": DETAILS, "ingest_store": STORE, "metadata_rows": METADATA, "constraint_violations": BROKEN,
 }

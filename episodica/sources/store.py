@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.constraints import CONTENT_KEY, violations
+
 PARTS = ("tenant_id", "domain", "day")
 
 
@@ -12,6 +14,10 @@ class ConflictError(ValueError):
     """Other bytes under a hash that is stored."""
 
 
+class ConstraintError(ValueError):
+    """A row that the metadata table may not hold."""
+
+
 def read(spark: SparkSession, root: str, what: str) -> DataFrame | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{what}")
     there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
@@ -38,3 +44,34 @@ def put_quarantine(results: DataFrame, root: str) -> None:
 def exists(spark: SparkSession, root: str, tenant: str, domain: str, sha: str) -> bool:
     held = read(spark, root, "bodies")
     return held is not None and not held.filter((F.col("tenant_id") == tenant) & (F.col("domain") == domain) & (F.col("content_sha256") == sha)).isEmpty()
+
+
+def get(spark: SparkSession, root: str, tenant: str, domain: str, sha: str) -> str | None:
+    """A stored body, or None."""
+    held = read(spark, root, "bodies")
+    found = held.filter((F.col("tenant_id") == tenant) & (F.col("domain") == domain) & (F.col("content_sha256") == sha)).select("body").first() if held is not None else None
+    return found["body"] if found else None
+
+
+def put_metadata(rows: DataFrame, root: str, tenants: DataFrame | None = None, domains: DataFrame | None = None) -> None:
+    """Append the flat rows of accepted records, in partitions by the month of `created_at`; content that is stored already is left.
+
+    Rows that break a constraint refuse the whole batch. tenants and domains: what rows may refer to; without them, their own.
+    """
+    held, key = read(rows.sparkSession, root, "metadata"), list(CONTENT_KEY)
+    fresh = rows if held is None else rows.join(held.select(*key).distinct(), key, "left_anti")
+    broken = violations(fresh, rows if tenants is None else tenants, rows if domains is None else domains)
+    if first := broken.orderBy("rule", "trajectory_id").first():
+        raise ConstraintError(f"{first['rule']} is broken by {first['trajectory_id']}; nothing was written")
+    created = F.col("created_at") if "created_at" in fresh.columns else F.current_timestamp()
+    fresh.withColumn("created_at", created).withColumn("month", F.date_format("created_at", "yyyy-MM")).write.mode("append").partitionBy("month").parquet(f"{root}/metadata")
+
+
+def select_metadata(spark: SparkSession, root: str, months: list[str] | None = None, error_type: str | None = None) -> DataFrame | None:
+    """Stored rows, of some months (only these are read) and of episodes with an error type."""
+    held = read(spark, root, "metadata")
+    if held is None:
+        return None
+    if months is not None:
+        held = held.filter(F.col("month").isin(*months))
+    return held if error_type is None else held.filter(F.array_contains("error_types", error_type))
