@@ -187,6 +187,7 @@ def nearest(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int, block:
     rows, found, scores = [], [], []
     size = np.array([len(i) for i in ids])
     flat, point = np.concatenate(ids), np.repeat(np.arange(len(ids)), size)
+    several = len(np.unique(flat)) < len(flat)  # else an id is one point's alone
     step = max(1, block // max(1, x.size))
     for a in range(0, len(q), step):
         far = ((q[a : a + step, None, :] - x[None, :, :]) ** 2).sum(axis=2)
@@ -196,7 +197,7 @@ def nearest(q: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int, block:
                 most = np.partition(own, wanted - 1)[wanted - 1] if len(own) > wanted else np.inf
                 at = np.flatnonzero(own[point] <= most)
                 at = at[np.lexsort((flat[at], own[point[at]]))]
-                _, first = np.unique(flat[at], return_index=True)
+                first = np.unique(flat[at], return_index=True)[1] if several else np.arange(len(at))
                 if len(first) >= k or wanted >= len(own):
                     break
                 wanted *= 2
