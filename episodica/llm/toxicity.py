@@ -143,14 +143,15 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
 
 
 def fit(rows: list[tuple[str, int]], share: float | None = None, thresholds: int = 256) -> ToxicityModel:
-    """Every other text of a label trains the dictionaries, the rest calibrates; share: of label 1 among all labelled rows."""
+    """Two of three texts of a label train the dictionaries, the rest calibrates; share: of label 1 among all labelled rows."""
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
     share = (len(toxic) / len(rows) if rows else 0.5) if share is None else share
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", height=float(np.log(np.clip(share, 1e-4, 1 - 1e-4) / np.clip(1 - share, 1e-4, 1))))
-    rest = [toxic[1::2] or toxic, ordinary[1::2] or ordinary]
-    base = train_dictionary(_of(ordinary[::2], WORDS), ORDINARY_BYTES)
-    model = ToxicityModel(base, toxic_dictionaries(toxic[::2], rest[1][:thresholds], base))
+    rest = [own[2::3] or own for own in (toxic, ordinary)]
+    training = [[t for k, t in enumerate(own) if k % 3 < 2] for own in (toxic, ordinary)]
+    base = train_dictionary(_of(training[1], WORDS), ORDINARY_BYTES)
+    model = ToxicityModel(base, toxic_dictionaries(training[0], rest[1][:thresholds], base))
     measured = [model.measured(texts) for texts in rest]
     counts = [np.bincount(d - LEAST, minlength=MOST - LEAST + 1) + 0.5 for d, _ in measured]
     ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
