@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from . import collocations
+
 #: name: module of the query function of the same name.
 MODULES = {
     "op1_nearest_neighbours": "ann",
@@ -16,8 +18,9 @@ MODULES = {
     "op8_simhash_near_dedup": "simhash",
     "op9_suffix_array_dedup": "substring_dedup",
     "op10_token_store": "token_store",
+    "op11_phrase_collocations": "collocations",
 }
 
 QUERIES = {name: getattr(import_module(f".{module}", __package__), name) for name, module in MODULES.items()}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_phrase_collocations": collocations.SQL}
