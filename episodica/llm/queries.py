@@ -19,6 +19,8 @@ MODULES = {
     "op9_suffix_array_dedup": "substring_dedup",
     "op10_token_store": "token_store",
     "op11_phrase_collocations": "collocations",
+    "op12_embedding_whitening": "whitening",
+    "op13_consistent_sharding": "sharding",
 }
 
 QUERIES = {name: getattr(import_module(f".{module}", __package__), name) for name, module in MODULES.items()}

@@ -6,8 +6,10 @@ import zlib
 import __spark_entry__
 import numpy as np
 import pytest
+from test_collocations import brute as brute_phrases
 from test_simhash import brute_components, brute_fingerprint
 from test_substring_dedup import brute as brute_spans
+from test_whitening import plain as plain_whitening
 
 from episodica.llm import tokens
 
@@ -56,9 +58,9 @@ def ran(spark, tables, name):
     return found.columns, found.collect()
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_thirteen_and_the_pipeline_are_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()} and "pipeline" in names
 
 
 def test_nearest_neighbours(spark, tables):
@@ -145,6 +147,28 @@ def test_repeats(spark, tables):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows), key=str) == brute_spans([(i, t) for i, t, _ in tables[1]], 50)
 
 
+def test_phrases(spark, tables):
+    _, rows = ran(spark, tables, "op11_phrase_collocations")
+    assert sorted(map(tuple, rows)) == brute_phrases([(t, lang) for _, t, lang in tables[1]], 30) != []
+
+
+def test_whitening(spark, tables):
+    _, rows = ran(spark, tables, "op12_embedding_whitening")
+    n, explained, expected = plain_whitening(tables[3], 8)
+    assert len(rows) == 8 * len(tables[3]) and {r.n for r in rows} == {n} and {(r.vec_id, r.deviation) for r in rows} == {(i, x[0][0]) for i, x in expected.items()}
+    assert all(np.isclose(abs(r.whitened), abs(expected[r.vec_id][0][1][r.component - 1])) and np.isclose(r.explained, explained[r.component - 1]) for r in rows)
+
+
+def test_sharding(spark, tables):
+    _, rows = ran(spark, tables, "op13_consistent_sharding")
+    docs = tables[1]
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in rows) == sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in docs)
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) == set(range(8)) and all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_pipeline_with_repeats_and_clashes(spark, tables):
     import corpus_pipeline
 
