@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,14 +183,51 @@ def bootstrap_delta(deltas: DataFrame, resamples: int = 10_000, seed: int = 0, p
     return deltas.select("task_id", "delta", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "point double, low double, high double")
 
 
+#: Weights of the mergeable bootstrap: a task's key and a resample's pair of factors give a number below this prime.
+PRIME = (1 << 31) - 1
+#: A task weighs as much in a resample as it passes of these: the distribution function of the Poisson law of mean 1.
+WEIGHT_BOUNDS = tuple(int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12))
+
+
+def _resample_factors(resamples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    drawn = [hashlib.sha256(f"{seed}:{r}".encode()).hexdigest() for r in range(resamples)]
+    return np.array([int(x[:8], 16) % (PRIME - 1) + 1 for x in drawn], np.int64), np.array([int(x[8:16], 16) % PRIME for x in drawn], np.int64)
+
+
 def bootstrap_delta_distributed(deltas: DataFrame, resamples: int = 10_000, seed: int = 0, percentiles: tuple[float, float] = (2.5, 97.5)) -> DataFrame:
-    """The same interval by Poisson weights from hashes, in one aggregation; its random numbers differ from bootstrap_delta's."""
-    u = (F.pmod(F.xxhash64("task_id", "r", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cumulative, weight = 0.0, F.lit(0)
-    for k in range(12):
-        cumulative += math.exp(-1) / math.factorial(k)
-        weight = weight + F.when(u > cumulative, 1).otherwise(0)
-    drawn = deltas.select("task_id", "delta", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r")).withColumn("w", weight)
-    means = drawn.groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col("delta")), F.sum("w")).alias("mean"))
+    """(point, low, high) by Poisson weights, for any number of tasks: a mergeable array of sums and weights a resample.
+
+    A partition adds its tasks into two arrays of `resamples` numbers, whatever its rows, and only these are shuffled and added.
+    Weights follow from hashes of the task and the resample, so they don't depend on partitions; they are other random numbers than
+    bootstrap_delta's. Tasks without a delta are left out; without tasks all three are null. Many tasks of one id share their weights.
+    """
+    times, plus = _resample_factors(resamples, seed)
+    bounds = np.array(WEIGHT_BOUNDS, np.int64)
+
+    def added(batches):
+        sums, weights = np.zeros(resamples), np.zeros(resamples, np.int64)
+        for batch in batches:
+            keys, delta = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for first in range(0, len(keys), 128):
+                own = np.searchsorted(bounds, (np.multiply.outer(keys[first : first + 128], times) + plus) % PRIME, side="right")
+                sums += delta[first : first + 128] @ own
+                weights += own.sum(axis=0)
+        if weights.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums), pa.array(weights)], names=["r", "sum", "weight"])
+
+    key = F.conv(F.substring(F.sha2(F.col("task_id").cast("string"), 256), 1, 12), 16, 10).cast("long") % PRIME
+    held = deltas.select(key.alias("k"), F.col("delta").cast("double").alias("delta")).filter("k is not null and delta is not null")
+    per = held.mapInArrow(added, "r long, sum double, weight long").groupBy("r").agg(F.try_divide(F.sum("sum"), F.sum("weight")).alias("mean"))
     low, high = (F.percentile("mean", F.lit(p / 100)) for p in percentiles)
-    return means.agg(low.alias("low"), high.alias("high")).crossJoin(F.broadcast(deltas.agg(F.avg("delta").alias("point")))).select("point", "low", "high")
+    return per.agg(low.alias("low"), high.alias("high")).crossJoin(F.broadcast(held.agg(F.avg("delta").alias("point")))).select("point", "low", "high")
+
+
+def bootstrap_sql(deltas: str, resamples: int = 10_000, seed: int = 0) -> str:
+    """The same interval in SQL, to nine places; deltas: the name of a table of task_id and delta."""
+    weight = " + ".join(f"(v >= {b})::int" for b in WEIGHT_BOUNDS)
+    return f"""drawn as (select r, sha256('{seed}:' || r) as h from range({resamples}) t(r)),
+factors as (select r, ('0x' || substr(h, 1, 8))::bigint % {PRIME - 1} + 1 as a, ('0x' || substr(h, 9, 8))::bigint % {PRIME} as b from drawn),
+keyed as (select ('0x' || substr(sha256(task_id::varchar), 1, 12))::bigint % {PRIME} as k, delta from {deltas}),
+weighed as (select r, delta, {weight} as w from (select r, delta, (a * k + b) % {PRIME} as v from keyed cross join factors)),
+means as (select r, sum(w * delta) / sum(w) as mean from weighed group by r having sum(w) > 0)
+select round((select avg(delta) from {deltas}), 9) as point, round(quantile_cont(mean, 0.025), 9) as low, round(quantile_cont(mean, 0.975), 9) as high from means"""

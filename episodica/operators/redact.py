@@ -7,10 +7,11 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import redaction as r
+from .ranks import numbered
 
 #: Where texts of a step stand, in the order that numbers values.
 PATHS = ("observation", "output", "reasoning", "action", "arguments", "arguments_raw", "result")
@@ -23,9 +24,10 @@ def text_spans(texts: DataFrame, policy: r.Policy = r.DEFAULT) -> DataFrame:
 
 
 def placeholder_index(spans: DataFrame) -> DataFrame:
-    """(episode, cls, value, number): by first appearance within episode and class."""
+    """(episode, cls, value, number): by first appearance within episode and class, however many values an episode has."""
     first = spans.groupBy("episode", "cls", "value").agg(F.min(F.struct("ord", "start")).alias("first"))
-    return first.select("episode", "cls", "value", F.row_number().over(Window.partitionBy("episode", "cls").orderBy("first")).alias("number"))
+    placed = first.select("episode", "cls", F.col("first.ord").alias("_ord"), F.col("first.start").alias("_start"), "value")
+    return numbered(placed, ["episode", "cls"], ["_ord", "_start"], "number").select("episode", "cls", "value", F.col("number").cast("int").alias("number"))
 
 
 def redaction_counts(spans: DataFrame) -> DataFrame:

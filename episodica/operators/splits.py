@@ -8,9 +8,11 @@ import os
 import random
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 RANDOM_ONCE = "random_once_fixed"
 UPSTREAM = "from_upstream"
 
@@ -68,13 +70,25 @@ def split_from_upstream(domain: str, train: list[str], test: list[str], notes: s
 
 def hash_split(df: DataFrame, train: int, test: int, seed: int, task: str = "task_id") -> DataFrame:
     """(task_id, split) for pools of any size: tasks in the order of sha256(seed:task). Other ids than build_split."""
-    pool = df.select(F.col(task).cast("string").alias("task_id")).distinct()
-    key = pool.withColumn("key", F.sha2(F.concat(F.lit(f"{seed}:"), "task_id"), 256))
-    picked = key.orderBy("key", "task_id").limit(train + test)
-    place = picked.withColumn("place", F.row_number().over(Window.orderBy("key", "task_id")))
+    place = _in_hash_order(df, seed, task).filter(F.col("place") <= train + test)
     return place.select("task_id", F.when(F.col("place") <= train, "train").otherwise("test").alias("split"))
 
 
+def hash_halves(df: DataFrame, tenths: int, seed: int, task: str = "task_id") -> DataFrame:
+    """(task_id, split) of all tasks: that many tenths of them, rounded down, train. The same order as hash_split."""
+    place = _in_hash_order(df, seed, task)
+    n = place.agg(F.count(F.lit(1)).alias("n"))
+    share = F.floor(F.col("n") * tenths / 10)
+    return place.join(F.broadcast(n)).select("task_id", F.when(F.col("place") <= share, "train").otherwise("test").alias("split"))
+
+
+def _in_hash_order(df: DataFrame, seed: int, task: str) -> DataFrame:
+    """Different tasks, numbered by the hash of seed and task."""
+    pool = df.select(F.col(task).cast("string").alias("task_id")).filter("task_id is not null").distinct()
+    key = pool.withColumn("key", F.sha2(F.concat(F.lit(f"{seed}:"), "task_id"), 256))
+    return numbered(key, [], ["key", "task_id"], "place")
+
+
 def split_table(spark, split: Split) -> DataFrame:
     """(split_sha, domain, task_id, split); test wins where a task is in both."""
     rows = {t: "train" for t in split.train} | {t: "test" for t in split.test}

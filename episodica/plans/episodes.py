@@ -221,7 +221,11 @@ select task_id, round(t - b, 9) as delta from m where t is not null and b is not
 
 
 def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap_delta(paired_task_delta(spark, sf_dir), seed=11)
+    found = stats.bootstrap_delta_distributed(paired_task_delta(spark, sf_dir), seed=11)
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
+
+
+BOOTSTRAP = f"with deltas as ({DELTA}), {stats.bootstrap_sql('deltas', seed=11)}"
 
 
 def _rates(spark, sf_dir):
@@ -267,6 +271,6 @@ ORACLES = {
     "stall_cycle_runs": f"with {EVENTS}, {CYCLES} {ALL_CYCLES}",
     "stall_merge": f"{STALLS} select * from merged", "stall_report": REPORT,
     "stall_rate": f"with r as ({REPORT}) select round(avg(stalled::int), 9) as stall_rate, count(*) filter (stalled) as stalled, count(*) as trajectories from r",
-    "contrast_unpaired": UNPAIRED, "contrast_documents": DOCUMENTS, "contrast_paired": PAIRED, "bh_adjust": BH_ADJUST, "wilson_by_group": WILSON, "percentile_ci": PERCENTILE,
+    "contrast_unpaired": UNPAIRED, "contrast_documents": DOCUMENTS, "contrast_paired": PAIRED, "bh_adjust": BH_ADJUST, "wilson_by_group": WILSON, "percentile_ci": PERCENTILE, "bootstrap_ci": BOOTSTRAP,
     "paired_task_delta": DELTA, "gap_recovery": GAP, "token_reduction": REDUCTION, "success_rate": SUCCESS,
 }

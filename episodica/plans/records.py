@@ -254,8 +254,7 @@ DISJOINT = "select 'halves_disjoint' as rule, 'bad' as detail union all select '
 
 def _event_half(episodes, which, seed):
     """Tasks of a half: six tenths of all tasks, by their hash, train."""
-    n = episodes.select("task_id").distinct().count()
-    halves = splits.hash_split(episodes, n * 6 // 10, n - n * 6 // 10, seed)
+    halves = splits.hash_halves(episodes, 6, seed)
     return halves.filter(F.col("split") == which).select(F.col("task_id").cast("bigint").alias("task_id"))
 
 
