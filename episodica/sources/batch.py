@@ -230,22 +230,32 @@ def normalize(rows: DataFrame, splits: DataFrame | None = None, max_bytes: int =
     return joined.withColumns({"rule": F.when(differs, "split_matches_artifact").otherwise(F.col("rule")), "field_path": F.when(differs, "split").otherwise(F.col("field_path")), "detail": F.when(differs, F.concat(F.lit("the split artifact says "), "_split")).otherwise(F.col("detail"))}).drop("_task", "_split")
 
 
-def ingest(rows: DataFrame, store: DataFrame | None = None, splits: DataFrame | None = None, hashed: Callable[[Column], Column] = canonical_hash, whole: bool = False) -> DataFrame:
-    """rows with content_sha256, domain and status: accepted, duplicate or quarantined.
+#: Copies of one record are first looked at in so many parts, so that no task gets all of them.
+COPY_PARTS = 256
 
-    store: (tenant_id, domain, content_sha256) of records accepted before; only those count for duplicates, besides
-    earlier sound copies in the batch. Quarantined records are never duplicates. whole: see `violations`.
+
+def ingest(rows: DataFrame, store: DataFrame | Callable[[DataFrame], DataFrame | None] | None = None, splits: DataFrame | None = None, hashed: Callable[[Column], Column] = canonical_hash, whole: bool = False) -> DataFrame:
+    """rows with content_sha256, domain and status: accepted, duplicate or quarantined. Positions differ.
+
+    store: (tenant_id, domain, content_sha256) of records accepted before, or a function that finds them among a table of these keys
+    (store.known reads an index for it); only those count for duplicates, besides earlier sound copies in the batch. Quarantined records
+    are never duplicates. whole: see `violations`. A record may come any number of times: the first copy of each part of its copies
+    is found before the first of all.
     """
     with_hash = rows.withColumn("content_sha256", hashed(F.col("raw")))
     out = normalize(with_hash, splits, whole=whole).withColumn("domain", F.coalesce(F.try_variant_get("v", "$.domain", "string"), F.lit("unknown")))
     key = ["tenant_id", "domain", "content_sha256"]
-    if store is not None:
-        out = out.join(store.select(*key).distinct().withColumn("_held", F.lit(True)), key, "left")
+    held = store(out.select(*key)) if callable(store) else store
+    if held is not None:
+        out = out.join(held.select(*key).distinct().withColumn("_held", F.lit(True)), key, "left")
     else:
         out = out.withColumn("_held", F.lit(None).cast("boolean"))
-    first = F.row_number().over(Window.partitionBy(*key, F.col("rule").isNull()).orderBy("position")) == 1
-    status = F.when(F.col("_held"), "duplicate").when(F.col("rule").isNotNull(), "quarantined").when(first, "accepted").otherwise("duplicate")
-    return out.withColumn("status", status).drop("_held")
+    out = out.withColumns({"_sound": F.col("rule").isNull(), "_copy": F.pmod(F.xxhash64("position"), F.lit(COPY_PARTS)) + 1})
+    first_in = lambda *parts: F.row_number().over(Window.partitionBy(*key, "_sound", *parts).orderBy("position")) == 1
+    out = out.withColumn("_first", first_in("_copy"))
+    first = F.col("_first") & first_in(F.when(F.col("_first"), 0).otherwise(F.col("_copy")))
+    status = F.when(F.col("_held"), "duplicate").when(~F.col("_sound"), "quarantined").when(first, "accepted").otherwise("duplicate")
+    return out.withColumn("status", status).drop("_held", "_sound", "_copy", "_first")
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:

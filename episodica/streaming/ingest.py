@@ -17,13 +17,13 @@ def read_stream(spark: SparkSession, folder: str, tenant_id: str, source_format:
 def write_stream(rows: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Each micro-batch: hash, drop what is stored, validate, write both sinks.
 
-    Known records are those stored, so no key state grows in memory, and none is ever forgotten. A batch that is run again after a
+    Known records are those stored, found by the index of their hashes, so no key state grows in memory, and none is ever forgotten. A batch that is run again after a
     failure finds its own bodies stored and adds nothing to them; a quarantined record may be listed twice.
     """
     def sink(part: DataFrame, _: int) -> None:
         spark = part.sparkSession
         numbered = part.withColumn("position", F.monotonically_increasing_id())
-        results = batch.ingest(numbered, store.read(spark, root, "bodies")).persist()
+        results = batch.ingest(numbered, lambda keys: store.known(spark, root, keys)).persist()
         try:
             accepted = results.filter("status = 'accepted'")
             store.put(accepted.select("tenant_id", "domain", F.current_date().alias("day"), "content_sha256", F.col("raw").alias("body")), root)
