@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -93,20 +92,6 @@ def canonical_hash_native(raw: Column) -> Column:
     return F.sha2(F.coalesce(F.to_json(F.try_parse_json(raw)), raw), 256)
 
 
-def _type(v: Column, path: str) -> Column:
-    got = F.try_variant_get(v, path, "variant")
-    return F.when(got.isNull(), "MISSING").otherwise(F.schema_of_variant(got))
-
-
-def _is(kind: Column, wanted: str) -> Column:
-    whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\(\d+,0\)$")
-    tests = {
-        "string": kind == "STRING", "bool": kind == "BOOLEAN", "int": kind == "BIGINT", "number": kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
-        "object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY"), "any": F.lit(True), "whole": whole,
-    }
-    return tests[wanted]
-
-
 #: path, kind; a '?' after the kind allows null and missing, '!' missing only, '*' null only. Fields of a missing or null object aren't looked at.
 TOP_FIELDS = (
     ("schema_version", "string!"), ("trajectory_id", "string"), ("tenant_id", "string"), ("domain", "string"), ("task_id", "string"), ("split", "string"), ("seed", "int"), ("started_at", "string"), ("ended_at", "string"),
@@ -142,64 +127,88 @@ STEP_NESTED = {
 }
 
 
-def _broken(v: Column, path: str, kind: str) -> Column:
-    found, wanted = _type(v, "$." + path), kind.rstrip("?!*")
-    ok = _is(found, {"count": "int", "sha256": "string", "strings": "array", "ints": "object"}.get(wanted, wanted))
-    if wanted == "count":
-        ok &= F.try_variant_get(v, "$." + path, "bigint") >= 0
-    elif wanted == "sha256":
-        ok &= F.try_variant_get(v, "$." + path, "string").rlike(HEX64)
-    elif wanted == "strings":
-        ok &= F.forall(F.try_variant_get(v, "$." + path, "array<variant>"), lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
-    elif wanted == "ints":
-        ok &= F.forall(F.map_values(F.try_variant_get(v, "$." + path, "map<string, variant>")), lambda x: F.coalesce(_is(F.schema_of_variant(x), "whole"), F.lit(False)))
-    also = {"?": ("VOID", "MISSING"), "!": ("MISSING",), "*": ("VOID",)}.get(kind[-1], ())
-    return ~(F.coalesce(ok, F.lit(False)) | found.isin(*also)) if also else ~F.coalesce(ok, F.lit(False))
+#: A row for each rule that a value's kind decides. also: types allowed besides; within: looked at only where this path is an object;
+#: known: the only keys allowed (wanted is `keys`).
+RULE = "array<struct<severity: int, rule: string, field: string, path: string, wanted: string, also: array<string>, within: string, known: array<string>>>"
+
+
+def _rule(field: str, path: str, kind: str, within: str | None = None, known: tuple = ()) -> dict:
+    also = {"?": ["VOID", "MISSING"], "!": ["MISSING"], "*": ["VOID"]}.get(kind[-1], [])
+    return dict(severity=SEVERITY.index("schema_invalid"), rule="schema_invalid", field=field, path="$." + path if path else "$", wanted=kind.rstrip("?!*"), also=also, within=within and "$." + within, known=list(known))
+
+
+def _record_rules(whole: bool) -> list[dict]:
+    return [
+        *[_rule(p, p, k) for p, k in TOP_FIELDS],
+        *[_rule(p, p, "object" if whole else "object!") for p in WHOLE],
+        *[_rule(f"{path}.{p}", f"{path}.{p}", k, path) for path, fields in PARTS.items() for p, k in fields],
+        *[_rule(path, path, "keys", known=known) for path, known in NESTED.items()],
+    ]
 
 
-def _extra(v: Column, path: str, known: tuple) -> Column:
-    return F.size(F.array_except(keys(v, path), F.array(*map(F.lit, known)))) > 0
+STEP_RULES = [
+    *[_rule("steps", p, k) for p, k in STEP_FIELDS], _rule("steps", "result.status", "string", "result"), _rule("steps", "", "keys", known=STEP_KEYS),
+    *[_rule("steps", path, "keys", known=known) for path, known in STEP_NESTED.items()],
+]
+TOKEN_RULES = [*[_rule("steps.tokens", f"tokens.{k}", "count*") for k in TOKEN_KEYS], _rule("steps.tokens", "tokens", "keys", known=TOKEN_KEYS)]
+STALL_RULES = [*[_rule("labels.stall_runs", p, k) for p, k in STALL_FIELDS], _rule("labels.stall_runs", "", "keys", known=tuple(k for k, _ in STALL_FIELDS))]
+
+
+def _table(rules: list[dict]) -> str:
+    return "from_json('" + json.dumps(rules).replace("'", "\\'") + f"', '{RULE}')"
+
+
+def _kind(v: str, path: str) -> str:
+    """The type of what lies at the path, as SQL; MISSING where nothing does."""
+    return f"coalesce(schema_of_variant(try_variant_get({v}, {path}, 'variant')), 'MISSING')"
+
+
+_NUMBER = "(x.k in ('BIGINT', 'DOUBLE', 'FLOAT') or startswith(x.k, 'DECIMAL'))"
+_WHOLE = r"(schema_of_variant(y) = 'BIGINT' or schema_of_variant(y) rlike '^DECIMAL[(][0-9]+,0[)]$')"
+
+
+def _broken(v: str, rules: list[dict]) -> str:
+    """The rows of RULE that the value v breaks, as SQL; what can't be told is broken. x.r is a row, x.k the type of its value."""
+    get = lambda kind: f"try_variant_get({v}, x.r.path, '{kind}')"
+    tests = {
+        "string": "x.k = 'STRING'", "object": "startswith(x.k, 'OBJECT')", "count": f"x.k = 'BIGINT' and {get('bigint')} >= 0", "int": "x.k = 'BIGINT'", "number": _NUMBER, "bool": "x.k = 'BOOLEAN'", "array": "startswith(x.k, 'ARRAY')", "any": "true",
+        "keys": f"size(array_except(coalesce(map_keys({get('map<string, variant>')}), array()), x.r.known)) = 0", "sha256": f"x.k = 'STRING' and {get('string')} rlike '^[0-9a-f]{{64}}\\\\z'",
+        "strings": f"startswith(x.k, 'ARRAY') and forall({get('array<variant>')}, y -> coalesce(schema_of_variant(y) = 'STRING', false))", "ints": f"startswith(x.k, 'OBJECT') and forall(map_values({get('map<string, variant>')}), y -> coalesce({_WHOLE}, false))",
+    }
+    ok = " ".join(f"when '{wanted}' then {test}" for wanted, test in tests.items())
+    looked = f"(x.r.within is null or startswith({_kind(v, 'x.r.within')}, 'OBJECT'))"
+    kinds = f"transform({_table(rules)}, r -> struct(r as r, {_kind(v, 'r.path')} as k))"
+    return f"filter({kinds}, x -> {looked} and not (coalesce(case x.r.wanted {ok} end, false) or array_contains(x.r.also, x.k)))"
 
 
-def violations(v: Column, whole: bool = False) -> Column:
-    """array<struct(severity, rule, field)> of every broken rule of a parsed record.
+def violations(v: str = "v", whole: bool = False) -> Column:
+    """array<struct(severity, rule, field)> of every broken rule of a parsed record, the column named v.
 
-    whole: a record without one of the objects in WHOLE breaks the schema, as in the reference; otherwise only
-    those that are there are checked.
+    Rules of a value's kind are rows of a table that one expression goes through, for the record, its steps and its stalls; the others
+    have expressions of their own. whole: a record without one of the objects in WHOLE breaks the schema, as in the reference;
+    otherwise only those that are there are checked. Written as SQL, since so many column objects take longer to build than to run.
     """
-    def rule(name: str, field: str, broken: Column) -> Column:
-        return F.when(F.coalesce(broken, F.lit(True)), F.struct(F.lit(SEVERITY.index(name)).alias("severity"), F.lit(name).alias("rule"), F.lit(field).alias("field")))
-
-    steps = F.coalesce(F.try_variant_get(v, "$.steps", "array<variant>"), F.array().cast("array<variant>"))
-    index = F.transform(steps, lambda s: F.try_variant_get(s, "$.index", "bigint"))
-    contiguous = (F.size(steps) == 0) | (index == F.sequence(F.lit(0).cast("bigint"), F.greatest(F.size(steps).cast("bigint") - 1, F.lit(0).cast("bigint"))))
-    reward = F.try_variant_get(v, "$.outcome.reward", "double")
-    token = lambda s, k: _type(s, f"$.tokens.{k}")
-    token_ok = lambda s: reduce(lambda a, b: a & b, [(token(s, k) == "VOID") | ((token(s, k) == "BIGINT") & (F.try_variant_get(s, f"$.tokens.{k}", "bigint") >= 0)) for k in TOKEN_KEYS])
-    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
-    there = lambda v, path: _type(v, f"$.{path}").startswith("OBJECT")
-    step_extra = lambda s: any_of([_extra(s, "$", STEP_KEYS), *[_extra(s, f"$.{k}", known) for k, known in STEP_NESTED.items()]])
-    step_bad = lambda s: any_of([_broken(s, p, k) for p, k in STEP_FIELDS]) | step_extra(s) | (there(s, "result") & _broken(s, "result.status", "string")) | ~F.coalesce(F.try_variant_get(s, "$.action.kind", "string").isin(*ACTION_KINDS), F.lit(False))
-    stalls = F.coalesce(F.try_variant_get(v, "$.labels.stall_runs", "array<variant>"), F.array().cast("array<variant>"))
-    stall_bad = lambda s: any_of([_broken(s, p, k) for p, k in STALL_FIELDS]) | _extra(s, "$", tuple(k for k, _ in STALL_FIELDS))
-    start, end = (F.try_variant_get(v, f"$.{k}", "string").try_cast("timestamp") for k in ("started_at", "ended_at"))
-    found = [
-        rule("reward_present", "outcome.reward", ~_is(_type(v, "$.outcome.reward"), "number") | reward.isNull() | F.isnan(reward)),
-        rule("step_contiguity", "steps", ~contiguous),
-        rule("token_keys_present", "steps.tokens", ~F.forall(steps, lambda s: token_ok(s) & ~_extra(s, "$.tokens", TOKEN_KEYS))),
-        rule("actor_mode_valid", "actor.mode", ~F.coalesce(F.try_variant_get(v, "$.actor.mode", "string").isin(*MODES), F.lit(False))),
-        rule("system_prompt_hash_present", "harness.system_prompt_sha256", ~F.coalesce(F.try_variant_get(v, "$.harness.system_prompt_sha256", "string").rlike(HEX64), F.lit(False))),
-        *[rule("schema_invalid", p, _broken(v, p, k)) for p, k in TOP_FIELDS],
-        *[rule("schema_invalid", path, _broken(v, path, "object" if whole else "object!")) for path in WHOLE],
-        *[rule("schema_invalid", f"{path}.{p}", there(v, path) & _broken(v, f"{path}.{p}", k)) for path, fields in PARTS.items() for p, k in fields],
-        *[rule("schema_invalid", k, _extra(v, f"$.{k}", known)) for k, known in NESTED.items()],
-        rule("schema_invalid", "schema_version", F.coalesce(F.try_variant_get(v, "$.schema_version", "string"), F.lit(VERSION)) != VERSION),
-        rule("schema_invalid", "labels.stall_runs", F.exists(stalls, lambda s: F.coalesce(stall_bad(s), F.lit(True)))),
-        rule("schema_invalid", "split", ~F.coalesce(F.try_variant_get(v, "$.split", "string").isin(*SPLITS), F.lit(False))),
-        rule("schema_invalid", "steps", F.exists(steps, lambda s: F.coalesce(step_bad(s), F.lit(True)))),
-        rule("schema_invalid", "ended_at", start.isNull() | end.isNull() | (end < start)),
+    rule = lambda name, field, broken: f"if(coalesce({broken}, true), struct({SEVERITY.index(name)} as severity, '{name}' as rule, '{field}' as field), null)"
+    at = lambda path, kind="string", x=v: f"try_variant_get({x}, '$.{path}', '{kind}')"
+    one_of = lambda path, values, x=v: f"coalesce({at(path, x=x)} in ({', '.join(repr(k) for k in values)}), false)"
+    any_broken = lambda x, rules: f"size({_broken(x, rules)}) > 0"
+    listed = lambda path: f"coalesce({at(path, 'array<variant>')}, array())"
+    steps, stalls = listed("steps"), listed("labels.stall_runs")
+    start, end = (f"try_cast({at(k)} as timestamp)" for k in ("started_at", "ended_at"))
+    own = [
+        rule("reward_present", "outcome.reward", f"not exists(array({_kind(v, chr(39) + '$.outcome.reward' + chr(39))}), k -> {_NUMBER.replace('x.k', 'k')}) or {at('outcome.reward', 'double')} is null or isnan({at('outcome.reward', 'double')})"),
+        rule("step_contiguity", "steps", f"exists(transform({steps}, (s, i) -> coalesce({at('index', 'double', 's')} <> i or {_kind('s', chr(39) + '$.index' + chr(39))} = 'STRING', true)), wrong -> wrong)"),
+        rule("token_keys_present", "steps.tokens", f"exists({steps}, s -> {any_broken('s', TOKEN_RULES)})"),
+        rule("actor_mode_valid", "actor.mode", f"not {one_of('actor.mode', MODES)}"),
+        rule("system_prompt_hash_present", "harness.system_prompt_sha256", f"not coalesce({at('harness.system_prompt_sha256')} rlike '^[0-9a-f]{{64}}\\\\z', false)"),
+        rule("schema_invalid", "schema_version", f"coalesce({at('schema_version')}, '{VERSION}') <> '{VERSION}'"),
+        rule("schema_invalid", "labels.stall_runs", f"exists({stalls}, s -> {any_broken('s', STALL_RULES)})"),
+        rule("schema_invalid", "split", f"not {one_of('split', SPLITS)}"),
+        rule("schema_invalid", "steps", f"exists({steps}, s -> {any_broken('s', STEP_RULES)} or not {one_of('action.kind', ACTION_KINDS, 's')})"),
+        rule("schema_invalid", "ended_at", f"{start} is null or {end} is null or {end} < {start}"),
     ]
-    return F.array_sort(F.array_compact(F.array(*found)))
+    of_table = f"transform({_broken(v, _record_rules(whole))}, x -> struct(x.r.severity as severity, x.r.rule as rule, x.r.field as field))"
+    return F.expr(f"array_sort(concat(array_compact(array({', '.join(own)})), {of_table}))")
 
 
 def normalize(rows: DataFrame, splits: DataFrame | None = None, max_bytes: int = MAX_RECORD_BYTES, whole: bool = False) -> DataFrame:
@@ -215,7 +224,7 @@ def normalize(rows: DataFrame, splits: DataFrame | None = None, max_bytes: int =
     mapped = parsed.withColumn("warnings", warnings)
     known = F.coalesce(F.col("source_format").isin(*_MAPPERS), F.lit(False))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    checked = mapped.withColumn("broken", F.when(known & is_object, violations(F.col("v"), whole)))
+    checked = mapped.withColumn("broken", F.when(known & is_object, violations("v", whole)))
     worst = F.try_element_at("broken", F.lit(1))
     listed = F.array_join(F.transform(F.slice("broken", 1, 5), lambda b: F.concat(b["field"], F.lit(": "), b["rule"])), "; ")
     rule = (
