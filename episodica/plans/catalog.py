@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import checks, episodes, records, redacted
+from . import checks, episodes, records, redacted, whole
 
-PARTS = (episodes, records, checks)
+PARTS = (episodes, records, checks, whole)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in (*PARTS, redacted) for name, sql in part.ORACLES.items()}
