@@ -234,9 +234,21 @@ def _number(s: str | None, other: int) -> int:
     return int(s) if s and re.fullmatch(r"\s*[+-]?\d{1,9}\s*", s) else other
 
 
+def unfolded(node: Node) -> list:
+    """What shows of an element's children: of closed details the first summary alone."""
+    if node.tag != "details" or "open" in node.attributes:
+        return node.children
+    return [c for c in node.children if not isinstance(c, str) and c.tag == "summary"][:1]
+
+
+def label(node: Node) -> str:
+    """What a button made as an input says; other inputs hold what a reader would type."""
+    return node.attributes.get("value") or "" if node.attributes and (node.attributes.get("type") or "").lower() in ("submit", "button", "reset") else ""
+
+
 def render(node: Node, page: Page, pre: bool = False, seen: bool = True) -> None:
     number = _number(node.attributes.get("start"), 1) if node.tag == "ol" else 0
-    for child in node.children:
+    for child in unfolded(node):
         if isinstance(child, str):
             if seen:
                 page.write(child, pre)
@@ -245,6 +257,8 @@ def render(node: Node, page: Page, pre: bool = False, seen: bool = True) -> None
         if tag == "br":
             page.broken(pre)
             continue
+        if tag == "input" and label(child) and "hidden" not in child.attributes and style(child, "display") != "none" and shown(child, seen):
+            page.write(f" {label(child)} ", False)
         if hidden(child):
             continue
         visible = shown(child, seen)

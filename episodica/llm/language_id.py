@@ -97,21 +97,24 @@ def size_class(number: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(number, 1)).astype(int), SIZES - 1)
 
 
+#: Trigrams of the longest pieces that rejection is calibrated on; a text of more different ones than any piece counts as the rows do.
+LONGEST_PIECE = 1 << 19
+
+
 def thresholds(texts: list[str], score: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]], low: float, slack: float) -> np.ndarray:
     """Least score kept of a language's texts, by size class.
 
-    Besides the rows, pieces of 1, 2, 4 and so on trigrams are cut evenly from the rows put one after another. Of
-    each class the lower quantile of rows and pieces counts, if 20 or more are there; other classes are as the one before.
+    Besides the rows, pieces of 1, 2, 4 and so on trigrams, up to LONGEST_PIECE, are cut evenly from the whole rows put one after
+    another. Of each class the lower quantile of rows and pieces counts, if 20 or more are there; other classes are as the one before.
     """
-    most = max(256, (1 << 21) // max(1, len(texts)))
     parts, rows, pieces = [], [], []
     for i in range(0, len(texts), 64):
         code, row = trigram_codes(*_rows(texts[i : i + 64]))
         rows.append(score(code, row, len(texts[i : i + 64])))
-        parts.append(code[np.arange(len(code)) - np.searchsorted(row, row) < most])
+        parts.append(code.astype(np.int32))
     stream = np.concatenate(parts)
     size = 1
-    while len(stream) >= 4 * size:
+    while len(stream) >= 4 * size and size <= LONGEST_PIECE:
         n = int(np.clip((1 << 20) // size, 16, 400))
         starts = np.linspace(0, len(stream) - size, n).astype(int)
         for i in range(0, n, 64):

@@ -89,31 +89,33 @@ class Seen:
     """Contents met in several documents of this task, and the least of these: the map side of the aggregation.
 
     A run whose content a smaller document of the task holds goes whole, whatever other tasks find, so it needn't
-    meet the runs of its key. A passage or text that very many documents share so sends a few rows a task.
+    meet the runs of its key. A passage or text that very many documents share so sends a few rows a task. Contents are
+    equal when both their hash and their key are: of a mixture and the hash that is mixed in, the key follows.
     """
 
     def __init__(self, most: int = 1 << 18):
-        self.content, self.doc, self.most = np.zeros(0, np.int64), np.zeros(0, np.int64), most
+        self.mixed, self.content, self.doc, self.most = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), most
 
     def copies(self, key: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Which runs are sure to go; remembers contents of more than one document."""
         mixed = content ^ key * np.int64(-7046029254386353131)
-        order = np.lexsort((doc, mixed))
-        own, docs = mixed[order], doc[order]
-        start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        order = np.lexsort((doc, content, mixed))
+        own, whole, docs = mixed[order], content[order], doc[order]
+        start = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (whole[1:] != whole[:-1]))))
         size = np.diff(np.append(start, len(own)))
         least = docs[start]
-        at = np.minimum(np.searchsorted(self.content, own[start]), max(0, len(self.content) - 1))
-        held = (self.content[at] == own[start]) if len(self.content) else np.zeros(len(start), bool)
+        at = np.minimum(np.searchsorted(self.mixed, own[start]), max(0, len(self.mixed) - 1))
+        held = (self.mixed[at] == own[start]) & (self.content[at] == whole[start]) if len(self.mixed) else np.zeros(len(start), bool)
         before = np.where(held, self.doc[at] if len(self.doc) else least, least)
         gone = np.empty(len(own), bool)
         gone[order] = docs > np.repeat(np.minimum(least, before), size)
         several = held | (docs[start + size - 1] > least)
-        content, doc = np.concatenate([own[start][several], self.content]), np.concatenate([np.minimum(least, before)[several], self.doc])
-        self.content, first = np.unique(content, return_index=True)
-        self.doc = doc[first]
-        if len(self.content) > self.most:  # forgetting costs rows, not results
-            self.content, self.doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        mixed, first = np.unique(np.concatenate([own[start][several], self.mixed]), return_index=True)
+        self.content = np.concatenate([whole[start][several], self.content])[first]
+        self.doc = np.concatenate([np.minimum(least, before)[several], self.doc])[first]
+        self.mixed = mixed
+        if len(mixed) > self.most:  # forgetting costs rows, not results
+            self.mixed, self.content, self.doc = (np.zeros(0, np.int64) for _ in range(3))
         return gone
 
 

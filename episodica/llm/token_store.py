@@ -45,12 +45,12 @@ MANIFEST = "path string, part int, number int, n_docs bigint, n_tokens bigint"
 
 
 def train_dictionary(ids: list[np.ndarray], width: int, size: int = DICTIONARY_BYTES) -> bytes:
-    """Of serialized id arrays; empty where they are too few."""
+    """Of serialized id arrays; where they are too few to train on they are the dictionary's content themselves, longest last, up to its size."""
     samples = [x.astype(f"<u{width}").tobytes() for x in ids]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(sorted(set(samples), key=lambda x: (len(x), x)))[-size:]
 
 
 def _options(dictionary: bytes) -> dict:

@@ -19,6 +19,10 @@ CASES = [
     ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><path d='m'/><g><text>one</text><text>two</text></g></svg>after", "one two after"),
     ("<svg><desc/><title/><text>seen</text></svg><p>p", "seen\n\np"),
     ("<svg><style>no{}</style><script>no</script><foreignObject><p>in</p></foreignObject></svg>", "in"),
+    ("<details>loose<summary>More</summary><p>folded</p></details>after", "More\nafter"),
+    ("<details open><summary>More</summary><p>seen</p></details>", "More\n\nseen"),
+    ("<details><p>folded</p></details>a", "a"),
+    ("a<input type=submit value='Send it'>b <input type=BUTTON value=Go><input type=reset value=Back hidden><input value=typed><input type=checkbox value=on>", "a Send it b Go"),
     ("<desc>shown</desc> <annotation>too</annotation>", "shown too"),
 ]
 
