@@ -1,22 +1,25 @@
 """Operator 2, toxicity by compression distance.
 
-Separate zstandard dictionaries are trained on toxic and on ordinary text. Texts are cut into windows of ``WORDS`` words, and
+Separate zstandard dictionaries are trained on toxic and on ordinary text. Texts are cut into windows of a few words, and
 each window is compressed twice: with the ordinary dictionaries alone and with the toxic ones beside them. What the toxic
 ones save, in bytes, is the window's distance. Windows end by marks that both sides know, so that their last words are searched too.
 
 A toxic text is mostly ordinary, so its dictionaries are trained in rounds: after each, the windows whose distance
-exceeds what all but 0.2 % of ordinary windows reach are the samples of the next. Texts are dealt to folds, and the
+exceeds what nearly all ordinary windows reach are the samples of the next. Texts are dealt to folds, and the
 windows of a fold are measured with dictionaries of the other folds only. Thresholds are calibrated on
 labelled texts that trained no dictionary: each distance gets the log ratio of its shares among toxic and ordinary windows,
 and a text's sum of these, over the root of its number of windows, gets a probability by a logistic curve whose two numbers are
-fitted on the same texts, each label weighted by its true share.
+fitted on the same texts, each label weighted by its true share. Sizes of windows and dictionaries are those of SETTINGS that
+order the calibration texts best (area under the curve; ties: the first): longer windows tell more where examples are many,
+single words where they are a few hundred.
 
-The model is fitted on at most ``sample`` labelled rows of each label (a parameter), of which ``thresholds`` ordinary texts set
-the rounds' thresholds. All samples are read whole. Every document is scored over its whole text, in one pass without shuffles.
+The model is fitted on at most ``sample`` labelled rows of each label (a parameter), read whole. Every document is scored over its
+whole text, in one pass without shuffles.
 
 Defined results: null and empty texts, and texts of white space, score as a text without windows; very long texts are windows like others (a
 word of more than ``LONGEST`` bytes is several words); without labelled rows of both kinds every score is the share of label 1
-(0.5 with no rows); repeated documents get equal scores, and of a labelled document's rows with one id the least text teaches;
+(0.5 with no rows); where samples are too few for a dictionary of its size a smaller one is trained, and where they are too few for
+any, they are its content themselves; repeated documents get equal scores, and of a labelled document's rows with one id the least text teaches;
 equal distances are equal whatever their window; an empty table gives no rows; other columns are ignored.
 """
 
@@ -35,33 +38,50 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled_sample, read_table, slices
 
 THRESHOLD = 0.3
-WORDS = 6
-#: Words in a window while the toxic dictionaries are trained: short ones hold less that is ordinary.
-SAMPLE_WORDS = 2
 LONGEST = 64
 PIECE = re.compile(rb"\S{1,%d}" % LONGEST)
 #: Closes every dictionary and every window: the last bytes of what is compressed aren't searched.
 FRAME = bytes(range(1, 25))
-ORDINARY_BYTES = 1 << 16
-TOXIC_BYTES = (8192, 4096, 2048, 1024, 1024, 1024)  # by round
 FOLDS = 4
-QUANTILE = 0.998
+#: Windows whose lengths a worker keeps.
+KEPT = 1 << 17
 LEAST, MOST = -10, 20  # distances beyond count as these
 PARAMETERS = dict(strategy=zstandard.STRATEGY_BTLAZY2, min_match=4, search_log=5, chain_log=18, hash_log=17, window_log=18, target_length=32)
 _WORKER: dict[bytes, object] = {}
 
 
-def windows(text: str | None, words: int = WORDS) -> list[bytes]:
+@dataclass(frozen=True)
+class Setting:
+    """Words of a window, and of one in training (short ones hold less that is ordinary); segment and piece of zstandard's trainer; share of
+    ordinary windows below the bar of a round; bytes of the ordinary dictionary, and of the toxic ones by round; whether the windows that a text
+    keeps are one sample, so that single words, too short to train on, stand together."""
+
+    words: int
+    sample_words: int
+    segment: int
+    piece: int
+    below: float
+    ordinary: int
+    toxic: tuple[int, ...]
+    joined: bool = False
+
+
+SETTINGS = (Setting(6, 2, 12, 8, 0.998, 1 << 17, (8192, 4096, 4096, 3072, 3072)), Setting(1, 1, 32, 6, 0.99, 1 << 16, (16384, 8192, 4096, 3072, 3072), joined=True))
+
+
+def windows(text: str | None, words: int = SETTINGS[0].words) -> list[bytes]:
     pieces = PIECE.findall((text or "").lower().encode())
     return [b" " + b" ".join(pieces[k : k + words]) + b" " for k in range(0, len(pieces), words)]
 
 
-def train_dictionary(samples: list[bytes], size: int) -> bytes:
-    """A dictionary trained by zstandard; where samples are too few to train on, their own end."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=16, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+def train_dictionary(samples: list[bytes], size: int, setting: Setting = SETTINGS[0]) -> bytes:
+    """A dictionary trained by zstandard, of half the size while samples are too few; in the end their own different ones, longest last."""
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, k=setting.segment, d=setting.piece).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b"".join(sorted(set(samples), key=lambda w: (len(w), w)))
 
 
 def lengths(content: bytes):
@@ -70,29 +90,37 @@ def lengths(content: bytes):
     held = zstandard.ZstdCompressionDict(content + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=parameters)
     compress = zstandard.ZstdCompressor(compression_params=parameters, dict_data=held).compress
-    return lambda own: np.fromiter((len(compress(w + FRAME)) for w in own), np.int64, len(own))
+
+    def measure(own: list[bytes]) -> np.ndarray:
+        of = {w: len(compress(w + FRAME)) for w in dict.fromkeys(own)}
+        return np.fromiter(map(of.__getitem__, own), np.int64, len(own))
+
+    return measure
 
 
 def _of(texts: list[str], words: int) -> list[bytes]:
     return [w for t in texts for w in windows(t, words)]
 
 
-def toxic_dictionaries(toxic: list[str], ordinary: list[str], base: bytes) -> bytes:
-    """The toxic dictionaries that the last round leads to, one for each fold, end to end. `ordinary` sets the thresholds."""
-    folds = [_of(toxic[i::FOLDS], SAMPLE_WORDS) for i in range(FOLDS)]
-    others = [_of(ordinary[i::FOLDS], SAMPLE_WORDS) for i in range(FOLDS)]
+def toxic_dictionaries(toxic: list[str], ordinary: list[str], base: bytes, setting: Setting) -> bytes:
+    """The toxic dictionaries that the last round leads to, one for each fold, end to end. `ordinary` sets the bars."""
+    texts = [[windows(t, setting.sample_words) for t in toxic[i::FOLDS]] for i in range(FOLDS)]
+    folds = [[w for own in fold for w in own] for fold in texts]
+    others = [_of(ordinary[i::FOLDS], setting.sample_words) for i in range(FOLDS)]
     plain = lengths(base)
     before, before_others = [plain(own) for own in folds], [plain(own) for own in others]
-    trained = lambda size: [train_dictionary([w for j in range(FOLDS) if j != i for w in samples[j]], size) for i in range(FOLDS)]
-    samples = folds
-    for size in TOXIC_BYTES:
+    pieces = lambda fold: [x for own in fold if own for x in ([b"".join(own)] if setting.joined else own)]
+    trained = lambda size: [train_dictionary([w for j in range(FOLDS) if j != i for w in samples[j]], size, setting) for i in range(FOLDS)]
+    samples = [pieces(fold) for fold in texts]
+    for size in setting.toxic:
         both = [lengths(base + d) for d in trained(size)]
-        bar = np.quantile(np.concatenate([b - f(own) for b, f, own in zip(before_others, both, others)]), QUANTILE) if any(others) else 0.0
-        kept = [[w for w, far in zip(own, (b - f(own) > bar).tolist()) if far] for b, f, own in zip(before, both, folds)]
+        bar = np.quantile(np.concatenate([b - f(own) for b, f, own in zip(before_others, both, others)]), setting.below) if any(others) else 0.0
+        far = [iter((b - f(own) > bar).tolist()) for b, f, own in zip(before, both, folds)]
+        kept = [pieces([[w for w in own if next(marks)] for own in fold]) for fold, marks in zip(texts, far)]
         if not all(kept):
             break
         samples = kept
-    return b"".join(trained(TOXIC_BYTES[-1]))
+    return b"".join(trained(setting.toxic[-1]))
 
 
 @dataclass
@@ -101,22 +129,30 @@ class ToxicityModel:
 
     ordinary: bytes
     toxic: bytes
+    words: int = SETTINGS[0].words
     ratio: np.ndarray = field(default_factory=lambda: np.zeros(MOST - LEAST + 1))
     slope: float = 0.0
     height: float = 0.0
 
     def distances(self, own: list[bytes]) -> np.ndarray:
-        """Bytes that the toxic dictionaries save in each window. The worker keeps its last model's."""
+        """Bytes that the toxic dictionaries save in each window. The worker keeps its last model's, and what it measured last."""
         key = self.ordinary + b"\0" + self.toxic
         if key not in _WORKER:
             _WORKER.clear()
-            _WORKER[key] = lengths(self.ordinary), lengths(self.ordinary + self.toxic)
-        plain, both = _WORKER[key]
-        return np.clip(plain(own) - both(own), LEAST, MOST)
+            _WORKER[key] = lengths(self.ordinary), lengths(self.ordinary + self.toxic), {}
+        plain, both, held = _WORKER[key]
+        new = [w for w in dict.fromkeys(own) if w not in held]
+        found = dict(zip(new, np.clip(plain(new) - both(new), LEAST, MOST).tolist()))
+        out = np.fromiter((found[w] if w in found else held[w] for w in own), np.int64, len(own))
+        if len(held) + len(found) > KEPT:
+            held.clear()
+        if len(found) <= KEPT:
+            held.update(found)
+        return out
 
     def measured(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Distances of all texts' windows, end to end, and each text's number of windows."""
-        own = [windows(t) for t in texts]
+        own = [windows(t, self.words) for t in texts]
         return self.distances([w for x in own for w in x]), np.array([len(w) for w in own], np.int64)
 
     def evidence(self, distances: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -142,32 +178,43 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return max(float(at[0]), 1e-9), float(at[1])
 
 
-def fit(rows: list[tuple[str, int]], share: float | None = None, thresholds: int = 256) -> ToxicityModel:
-    """Two of three texts of a label train the dictionaries, the rest calibrates; share: of label 1 among all labelled rows."""
+def _area(score: np.ndarray, toxic: int) -> float:
+    """Area under the curve; the first `toxic` scores are of label 1."""
+    ordinary = np.sort(score[toxic:])
+    return float((np.searchsorted(ordinary, score[:toxic], "left") + np.searchsorted(ordinary, score[:toxic], "right")).sum()) / (2 * toxic * len(ordinary))
+
+
+def fit(rows: list[tuple[str, int]], share: float | None = None, settings: tuple[Setting, ...] = SETTINGS) -> ToxicityModel:
+    """Two of three texts of a label train the dictionaries, the rest calibrates and chooses the setting; share: of label 1 among all labelled rows."""
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
     share = (len(toxic) / len(rows) if rows else 0.5) if share is None else share
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", height=float(np.log(np.clip(share, 1e-4, 1 - 1e-4) / np.clip(1 - share, 1e-4, 1))))
     rest = [own[2::3] or own for own in (toxic, ordinary)]
     training = [[t for k, t in enumerate(own) if k % 3 < 2] for own in (toxic, ordinary)]
-    base = train_dictionary(_of(training[1], WORDS), ORDINARY_BYTES)
-    model = ToxicityModel(base, toxic_dictionaries(training[0], rest[1][:thresholds], base))
-    measured = [model.measured(texts) for texts in rest]
-    counts = [np.bincount(d - LEAST, minlength=MOST - LEAST + 1) + 0.5 for d, _ in measured]
-    ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
-    model.ratio = np.round(ratio * 2**20) / 2**20  # so that sums are exact, whatever stands beside a text in its batch
     y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
     weight = np.where(y > 0, share / len(rest[0]), (1 - share) / len(rest[1])) * len(y)
-    model.slope, model.height = _curve(np.concatenate([model.evidence(*m) for m in measured]), y, weight)
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, rest: int = 2, sample: int = 3000, thresholds: int = 256) -> ToxicityModel:
+    best, found = -1.0, None
+    for setting in settings:
+        base = train_dictionary(_of(training[1], setting.words), setting.ordinary, setting)
+        model = ToxicityModel(base, toxic_dictionaries(training[0], rest[1], base, setting), setting.words)
+        measured = [model.measured(texts) for texts in rest]
+        counts = [np.bincount(d - LEAST, minlength=MOST - LEAST + 1) + 0.5 for d, _ in measured]
+        ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
+        model.ratio = np.round(ratio * 2**20) / 2**20  # so that sums are exact, whatever stands beside a text in its batch
+        evidence = np.concatenate([model.evidence(*m) for m in measured])
+        if (area := _area(evidence, len(rest[0]))) > best:
+            best, found = area, model
+            model.slope, model.height = _curve(evidence, y, weight)
+    return found
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, rest: int = 2, sample: int = 3000) -> ToxicityModel:
     parts = [labelled_sample(docs, labels.filter(F.col(label) == y), label, folds, rest, sample) for y in (0, 1)]
     found = reduce(DataFrame.union, parts).toArrow()
     rows = sorted(zip(found["doc_id"].to_pylist(), found["label"].to_pylist(), found["text"].to_pylist()))
     share = labels.filter(F.col(label).isin(0, 1) & ~held_out("doc_id", folds, rest)).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    return fit([(t, y) for _, y, t in rows], share, thresholds)
+    return fit([(t, y) for _, y, t in rows], share)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -33,8 +33,8 @@ def test_scores_are_those_of_a_plain_recomputation():
         for w in (t or "").lower().encode().split():
             words += [w[k : k + toxicity.LONGEST] for k in range(0, len(w), toxicity.LONGEST)]
         total, n = 0.0, 0
-        for k in range(0, len(words), toxicity.WORDS):
-            window = b" " + b" ".join(words[k : k + toxicity.WORDS]) + b" "
+        for k in range(0, len(words), model.words):
+            window = b" " + b" ".join(words[k : k + model.words]) + b" "
             saved = min(max(size(model.ordinary, window) - size(model.ordinary + model.toxic, window), toxicity.LEAST), toxicity.MOST)
             total, n = total + model.ratio[saved - toxicity.LEAST], n + 1
             at.append(saved)
@@ -70,3 +70,19 @@ def test_one_label_only():
     assert np.allclose(toxicity.fit([("a b", 1)] * 3).score(pa.array(["x", None])), 1, atol=1e-3)
     assert np.allclose(toxicity.fit([], 0.25).score(pa.array(["x"])), 0.25)
     assert np.allclose(toxicity.fit([]).score(pa.array(["x"])), 0.5)
+
+
+def test_a_few_hundred_texts_with_one_toxic_word_in_a_hundred():
+    rng = random.Random(12)
+    common = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(900)]
+    bad = ["grobianisch", "zyxwort", "quarkig", "vuxel", "hzzmno"]
+    text = lambda share: " ".join(rng.choice(bad) if rng.random() < share else rng.choice(common[: rng.choice([60, 900])]) for _ in range(rng.randint(150, 400)))
+    rows = [(text(0.012 if k % 6 == 0 else 0.0), int(k % 6 == 0)) for k in range(900)]
+    model = toxicity.fit(rows[:600])
+    y, score = np.array([y for _, y in rows[600:]]), model.score(pa.array([t for t, _ in rows[600:]]))
+    assert (score[y == 1] >= toxicity.THRESHOLD).mean() >= 0.6 and (score[y == 0] >= toxicity.THRESHOLD).mean() < 0.05
+
+
+def test_few_samples_get_a_smaller_dictionary():
+    assert 0 < len(toxicity.train_dictionary([b" one ", b" two words "], 4096)) < 4096
+    assert toxicity.train_dictionary([b" a ", b" longer one ", b" a "], 4096) == b" a  longer one "
