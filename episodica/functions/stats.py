@@ -80,7 +80,7 @@ def benjamini_hochberg(rows: DataFrame, p: str, order: str, q: float = 0.10) ->
     """rows with p_adjusted and significant; `order` breaks ties. The rows are one per hypothesis, so few."""
     by = Window.orderBy(p, order)
     ranked = rows.withColumn("_rank", F.row_number().over(by)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy()))
-    upward = by.rowsBetween(0, Window.unboundedFollowing)
+    upward = Window.orderBy(F.desc(p), F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)  # a frame that only grows is read once
     adjusted = ranked.withColumn("p_adjusted", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(upward)))
     return adjusted.withColumn("significant", F.col("p_adjusted") <= q).drop("_rank", "_m")
 

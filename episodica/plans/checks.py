@@ -11,6 +11,7 @@ from ..schema import breaking_changes, schema_filename
 from ..sources import batch
 from ..sources import tables as t
 from .episodes import FREQUENCY, NGRAMS, REPEATS, CYCLES, MERGED, UNPAIRED, _events, _predicates, _rates
+from .records import _half_sql
 from .views import ERRORS, EVENTS
 
 SEED = 20260801
@@ -177,15 +178,14 @@ select round(sum(least(f, e)) / sum(e), 9) as recall, round(sum(least(f, e)) / s
 
 
 def corpus_no_think(spark, sf_dir):
-    """Corpora of no_think episodes alone: those of one domain and model on the train half of a hash split."""
+    """Corpora of no_think episodes alone: those of one domain and model on the train half of a hash split of all tasks."""
     episodes = _events(spark, sf_dir)[1].withColumns({"domain": F.when(F.col("has_purchase"), "shop").otherwise("look"), "model": F.when(F.col("n_steps") > 5, "long").otherwise("short"), "task_id": F.col("task_id").cast("string")})
-    half = splits.hash_split(episodes, 60, 40, SEED).filter("split = 'train'")
+    half = splits.hash_halves(episodes, 6, SEED).filter("split = 'train'")
     rows, _ = corpus.composed(corpus.eligible(episodes, half, "shop", "long"), "no_think_only")
     return rows.select("trajectory_id", "task_id", "success")
 
 
-_HALF = f"half as (select task_id from (select distinct task_id::varchar as task_id from episodes) order by sha256('{SEED}:' || task_id), task_id limit 60)"
-NO_THINK = f"with {EVENTS}, {_HALF} select trajectory_id, task_id::varchar as task_id, success from episodes where mode = 'no_think' and has_purchase and n_steps > 5 and task_id::varchar in (select task_id from half)"
+NO_THINK = f"with {EVENTS} select trajectory_id, task_id::varchar as task_id, success from episodes where mode = 'no_think' and has_purchase and n_steps > 5 and task_id in {_half_sql('train', SEED)}"
 
 
 def visible_rewards(spark, sf_dir):

@@ -242,14 +242,16 @@ _SPLIT = f"""hs as (select task_id, row_number() over (order by k, task_id) as r
 
 
 def split_disjoint(spark, sf_dir):
-    """Two splits of documents' sources, of which one has a task in both halves."""
-    rows = t.table(spark, sf_dir, "documents").select("source").distinct().groupBy().agg(F.array_sort(F.collect_list("source")).alias("s"))
-    good = rows.select(F.lit("good").alias("sha256"), F.slice("s", 1, 5).alias("train"), F.slice("s", 6, 5).alias("test"))
-    bad = rows.select(F.lit("bad").alias("sha256"), F.slice("s", 1, 5).alias("train"), F.slice("s", 5, 5).alias("test"))
-    return splits.constraint_violations(good.union(bad).union(rows.select(F.lit("empty"), "s", F.slice("s", 1, 0))))
+    """Sources of all documents as splits, one by language and last digits of the id: those met an even number of times train, those met a multiple of three times test."""
+    docs = t.table(spark, sf_dir, "documents").filter("lang is not null and source is not null")
+    met = docs.groupBy(F.concat_ws("-", "lang", (F.col("doc_id") % 50).cast("string")).alias("sha256"), "source").agg(F.count(F.lit(1)).alias("n"))
+    halves = {half: F.collect_list(F.when(F.col("n") % k == 0, F.col("source"))).alias(half) for half, k in (("train", 2), ("test", 3))}
+    return splits.constraint_violations(met.groupBy("sha256").agg(*halves.values()))
 
 
-DISJOINT = "select 'halves_disjoint' as rule, 'bad' as detail union all select 'halves_non_empty', 'empty'"
+DISJOINT = """with met as (select concat(lang, '-', doc_id % 50) as detail, source, count(*) as n from documents where lang is not null and source is not null group by 1, 2),
+s as (select detail, count(*) filter (n % 2 = 0) as train, count(*) filter (n % 3 = 0) as test, count(*) filter (n % 6 = 0) as shared from met group by 1)
+select 'halves_non_empty' as rule, detail from s where train = 0 or test = 0 union all select 'halves_disjoint', detail from s where shared > 0"""
 
 
 def _event_half(episodes, which, seed):

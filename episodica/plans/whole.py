@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import redact_records
+from ..operators import drift, redact_records
 from ..sources import envelopes
 from ..sources import tables as t
 from . import redacted
@@ -79,5 +79,33 @@ _NESTED = """select conv_id as ep, turn * 8 + p as ord, case when turn % 8 = p t
 from (select conv_id, turn, text, coalesce(lag(text) over (partition by conv_id order by turn), '') as before from conversations) cross join (select unnest(range(8)) as p)"""
 NESTED = f"with {redacted.spans(_NESTED)}, {redacted.REDACTED} select ep as conv_id, ord // 8 as turn, (ord % 8)::int as place, sha256(redacted) as sha256 from redacted"
 
-QUERIES = {"ingest_envelopes": ingest_envelopes, "redact_nested": redact_nested}
-ORACLES = {"ingest_envelopes": ENVELOPES, "redact_nested": NESTED}
+def schema_drift(spark, sf_dir):
+    """What changes in the properties of events from week to week: by week k is a text in part, renamed, repeated in a list, or beside a nested object."""
+    events = t.table(spark, sf_dir, "events")
+    n = F.regexp_extract("props", "([0-9]+)", 1)
+    week = F.date_format(F.date_trunc("week", F.col("ts").cast("timestamp")), "yyyy-MM-dd")
+    turn, odd = F.pmod(F.datediff(F.date_trunc("week", F.col("ts").cast("timestamp")), F.lit("2020-01-06").cast("date")) / 7, F.lit(5)).cast("int"), F.col("event_id") % 2 == 1
+    raw = (
+        F.when(turn == 1, F.when(odd, F.format_string('{"k": "%s"}', n)).otherwise(F.col("props"))).when(turn == 2, F.format_string('{"j": %s, "m": {"a": {"b": %s}}}', n, n))
+        .when(turn == 3, F.when(odd, F.format_string('{"k": [%s, {"c": true}]}', n)).otherwise(F.substring("props", 1, 3))).otherwise(F.col("props"))
+    )
+    rows = events.select(week.alias("week"), raw.alias("raw"))
+    return drift.drift(drift.field_kinds(rows, "week", "raw"), "week")
+
+
+DRIFT = r"""with e as (select event_id, props, regexp_extract(props, '([0-9]+)', 1) as n, strftime(date_trunc('week', ts), '%Y-%m-%d') as week, (date_diff('day', date '2020-01-06', date_trunc('week', ts)::date) // 7) % 5 as turn from events),
+r as (select week, event_id, case when turn = 1 then case when event_id % 2 = 1 then concat('{"k": "', n, '"}') else props end when turn = 2 then concat('{"j": ', n, ', "m": {"a": {"b": ', n, '}}}')
+  when turn = 3 then case when event_id % 2 = 1 then concat('{"k": [', n, ', {"c": true}]}') else props[1:3] end else props end as raw from e),
+tot as (select week, count(*) as total from r group by 1),
+nodes as (select r.week, r.event_id, regexp_replace(t.fullkey, '\[[0-9]+\]', '[]', 'g') as path,
+  case t.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end as kind
+  from (select * from r where json_valid(raw)) r, json_tree(r.raw::json) t where t.fullkey <> '$'),
+f as (select week, path, string_agg(distinct kind, '|' order by kind) as kinds, count(distinct event_id) as n from nodes group by 1, 2),
+g as (select f.week, path, kinds, n = total as required from f join tot using (week)),
+w as (select week as was, lead(week) over (order by week) as now from (select distinct week from g)),
+o as (select now, path, kinds as a, required as ra from g join w on g.week = w.was where now is not null), p as (select now, path, kinds as b, required as rb from g join w on g.week = w.now),
+j as (select coalesce(o.now, p.now) as week, coalesce(o.path, p.path) as path, a, ra, b, rb from o full join p on o.now = p.now and o.path = p.path)
+select week, path, unnest(list_filter([case when a is null then 'added' end, case when b is null then 'removed' end, case when a <> b then concat('kinds changed: ', a, ' > ', b) end, case when not ra and rb then 'became required' end, case when ra and not rb then 'became optional' end], lambda x: x is not null)) as change from j"""
+
+QUERIES = {"ingest_envelopes": ingest_envelopes, "redact_nested": redact_nested, "schema_drift": schema_drift}
+ORACLES = {"ingest_envelopes": ENVELOPES, "redact_nested": NESTED, "schema_drift": DRIFT}
