@@ -4,8 +4,9 @@ A byte goes if it is covered by a string of ``width`` bytes that also starts in
 Strings that are equal must meet in one shard without moving all text. Each window of ``width`` bytes is keyed by
 the least hash of its 16-byte grams, which equal windows share, and neighbouring windows of one key form a run of some 18.
 Keys that only one document has are dropped. Of runs with equal content all but those of the smallest document
-go whole. The others, where different runs share a key, are brought together with their bytes by key; each shard
-of them gets a suffix array by induced sorting, its permuted common prefixes tell which windows are equal, and the
+go whole. Of the others, where different runs share a key, a window has 16 bytes more on one side of its gram at least, and
+equal windows have them on the same side; so only runs that share a side with a run of another document are brought together
+with their bytes by key. Each shard of them gets a suffix array by induced sorting, its permuted common prefixes tell which windows are equal, and the
 least document of each such set wins. So an exact copy costs one row a run, and only the edges of repeated
 stretches are sorted. A key that very many runs share is dealt again by the least hash of 32-byte grams, and at
 last of whole windows, so no shard outgrows a task.
@@ -36,7 +37,8 @@ from .suffix_array import common_prefixes, suffix_array
 WIDTH = 50
 GRAMS = (16, 32, 50)  # bytes in a gram, by level
 LONGEST = 64  # windows in a run
-PLACE = 128  # a run's first window, number of windows and whether it is settled in one long
+SIDE = 16  # bytes beside a gram that tell its runs apart
+SIDES = 1 << 12  # values of a side
 SHARD = 1 << 20
 CROWD = 1 << 12  # runs of one key beyond which they are dealt again by longer grams
 RUN = "m bigint, doc_id bigint, th bigint, at int, content binary"
@@ -50,14 +52,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def window_keys(raw: np.ndarray, width: int = WIDTH, gram: int = GRAMS[0]) -> np.ndarray:
-    """For each window of raw, the least hash of its grams, of 16 bytes at least."""
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number."""
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
-    grams = len(raw) - gram + 1
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
+
+
+def gram_hashes(eight: np.ndarray, grams: int, gram: int = GRAMS[0]) -> np.ndarray:
+    """Hashes of the first `grams` grams, of 16 bytes at least."""
     least = _mixed(eight[:grams] * np.uint64(0x9E3779B97F4A7C15) ^ eight[gram - 8 : gram - 8 + grams] * np.uint64(0xC2B2AE3D27D4EB4F))
     for k in range(8, gram - 8, 8):  # what lies between the first and the last eight
         least = _mixed(least * np.uint64(0x9E3779B97F4A7C15) ^ eight[k : k + grams] * np.uint64(0xC2B2AE3D27D4EB4F))
+    return least
+
+
+def least_hashes(least: np.ndarray, width: int = WIDTH, gram: int = GRAMS[0]) -> np.ndarray:
+    """For each window the least hash of its grams."""
     wanted, reach = width - gram + 1, 1
     while reach < wanted:
         step = min(reach, wanted - reach)
@@ -66,12 +76,46 @@ def window_keys(raw: np.ndarray, width: int = WIDTH, gram: int = GRAMS[0]) -> np
     return least
 
 
-def window_runs(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first window, windows, key) of every run; rows are raw[offsets[i]:offsets[i+1]]."""
+def window_keys(raw: np.ndarray, width: int = WIDTH, gram: int = GRAMS[0]) -> np.ndarray:
+    """For each window of raw, the least hash of its grams, of 16 bytes at least."""
+    return least_hashes(gram_hashes(_eights(raw), len(raw) - gram + 1, gram), width, gram)
+
+
+def run_sides(eight: np.ndarray, hashes: np.ndarray, keys: np.ndarray, first: np.ndarray, n: np.ndarray, width: int = WIDTH, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (1 to SIDES - 1) of the SIDE bytes left and right of each run's gram, 0 where no window needs that side.
+
+    A window's gram is its leftmost one of the least hash, so equal windows have it at the same place. With SIDE bytes of the
+    window before it, the left side counts for that window, else the right one: equal windows are in runs that agree in one.
+    Both are 0 if windows of the run have their grams at different places: such a run may have a window in common with any.
+    """
+    slack = width - gram
+    if slack < 2 * SIDE - 1:
+        return np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    own = keys[first]
+    place = first + slack  # a key under that of the window before has come with the last gram, and there only
+    open_ = np.flatnonzero((first == 0) | (own >= keys[np.maximum(first, 1) - 1]))
+    for k in range(slack):
+        hit = hashes[first[open_] + k] == own[open_]
+        place[open_[hit]] = first[open_[hit]] + k
+        open_ = open_[~hit]
+    last = first + n - 1
+    one = place >= last
+
+    def side(wanted: np.ndarray, at: int) -> np.ndarray:
+        out = np.zeros(len(first), np.int64)
+        p = place[wanted] + at
+        out[wanted] = (_mixed(eight[p] * np.uint64(0x9E3779B97F4A7C15) ^ eight[p + SIDE - 8] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(16)) % np.uint64(SIDES - 1) + np.uint64(1)
+        return out
+
+    return side(np.flatnonzero(one & (place - first >= SIDE)), -SIDE), side(np.flatnonzero(one & (place - last < SIDE)), gram)
+
+
+def window_runs(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAMS[0], key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first window, windows, key) of every run; rows are raw[offsets[i]:offsets[i+1]], key their window_keys if known."""
     none = np.zeros(0, np.int64)
     if len(raw) < width:
         return none, none, none, none
-    key = window_keys(raw, width, gram)
+    key = window_keys(raw, width, gram) if key is None else key
     row = np.searchsorted(offsets, np.arange(len(key)), side="right") - 1
     at = np.flatnonzero(np.arange(len(key)) + width <= offsets[row + 1])
     if not len(at):
@@ -141,17 +185,23 @@ def _runs(batches, width: int):
     for whole in batches:
         for batch in slices(once.new(whole), "text"):
             raw, offsets = text_bytes(batch.column("text"))
-            row, at, n, key = window_runs(raw, offsets, width)
+            if len(raw) < width:
+                continue
+            eight = _eights(raw)
+            hashes = gram_hashes(eight, len(raw) - GRAMS[0] + 1)
+            keys = least_hashes(hashes, width)
+            row, at, n, key = window_runs(raw, offsets, width, key=keys)
             if not len(row):
                 continue
             data, first = raw.tobytes(), at + offsets[row]
+            left, right = run_sides(eight, hashes, keys, first, n, width)
             digest = xxhash.xxh64_intdigest
             content = np.array([digest(data[a:b]) for a, b in zip(first.tolist(), (first + n + width - 1).tolist())], np.uint64).view(np.int64)
             doc = batch.column("doc_id").to_numpy()[row]
             gone = seen.copies(key, content, doc)
             # runs that are settled are spread by a key of their own
             key = np.where(gone, content ^ (doc * 0x1000003 + at) * np.int64(-7046029254386353131), key)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(doc), batch.column("th").take(pa.array(row)), pa.array((at * PLACE + n) * 2 + gone)], names=["m", "sh", "doc_id", "th", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(doc), batch.column("th").take(pa.array(row)), pa.array((((at * 64 + n - 1) * SIDES + left) * SIDES + right) * 2 + gone)], names=["m", "sh", "doc_id", "th", "place"])
 
 
 def _content(batches, width: int):
@@ -166,7 +216,7 @@ def _content(batches, width: int):
             first = at + offsets[row]
             parts = [data[a:b] for a, b in zip(first.tolist(), (first + n + width - 1).tolist())]
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([fields.field("m"), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(at), pa.array(parts, pa.binary())], names=["m", "doc_id", "th", "at", "content"])
+            yield pa.RecordBatch.from_arrays([fields.field("m"), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(at), pa.array(parts, pa.binary()), fields.field("crowded")], names=["m", "doc_id", "th", "at", "content", "crowded"])
 
 
 def _dealt_again(batches, width: int, gram: int):
@@ -274,6 +324,23 @@ def _crowded(runs: DataFrame, width: int, crowd: int, level: int) -> list[DataFr
     return out if last or again.isEmpty() else out + _crowded(again, width, crowd, level + 1)
 
 
+def _met(runs: DataFrame, crowd: int) -> DataFrame:
+    """Runs that go whole (copy), and those that may have a window in common with a different run of another document."""
+    alike, met = Window.partitionBy("m", "sh"), Window.partitionBy("m")
+    left, right = F.shiftright("place", 13).bitwiseAND(SIDES - 1), F.shiftright("place", 1).bitwiseAND(SIDES - 1)
+    seen = runs.withColumn("own", F.min("doc_id").over(alike))
+    seen = seen.withColumn("lo", F.min("doc_id").over(met)).withColumn("hi", F.max("doc_id").over(met)).withColumn("several", F.min("sh").over(met) != F.max("sh").over(met)).withColumn("wild", F.min(F.greatest(left, right)).over(met) == 0)
+    copy = (F.col("place") % 2 == 1) | (F.col("doc_id") > F.col("own"))
+    seen = seen.filter(copy | ((F.col("lo") < F.col("hi")) & F.col("several")))
+    seen = seen.select("m", "doc_id", "th", F.shiftright("place", 31).cast("int").alias("at"), (F.shiftright("place", 25).bitwiseAND(63) + 1).cast("int").alias("n"), copy.alias("copy"), "wild", left.alias("left"), right.alias("right"))
+    other = F.when(~F.col("copy"), F.col("doc_id"))  # what a copy has, the run that it is a copy of has
+    for side in ("left", "right"):
+        beside = Window.partitionBy("m", side)
+        seen = seen.withColumn(f"by_{side}", (F.col(side) > 0) & (F.min(other).over(beside) < F.max(other).over(beside)))
+    seen = seen.filter("copy or wild or by_left or by_right")
+    return seen.select(F.when(~F.col("copy"), F.col("m")).alias("m"), "doc_id", "th", "at", "n", "copy", (F.count(other).over(met) > crowd).alias("crowded"))
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """(doc_id, th, start, length) in bytes of stretches to remove, which may overlap; th is xxhash64 of the text.
 
@@ -281,23 +348,14 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> D
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
     runs = rows.mapInArrow(lambda it: _runs(it, width), "m bigint, sh bigint, doc_id bigint, th bigint, place bigint")
-    alike, met = Window.partitionBy("m", "sh"), Window.partitionBy("m")
-    seen = runs.withColumn("own", F.min("doc_id").over(alike))
-    seen = seen.withColumn("lo", F.min("doc_id").over(met)).withColumn("hi", F.max("doc_id").over(met)).withColumn("several", F.min("sh").over(met) != F.max("sh").over(met)).withColumn("crowded", F.count(F.lit(1)).over(met) > crowd)
-    copy = (F.col("place") % 2 == 1) | (F.col("doc_id") > F.col("own"))
-    kept = seen.filter(copy | ((F.col("lo") < F.col("hi")) & F.col("several")))
-    at, n = F.shiftright("place", 8).cast("int"), (F.shiftright("place", 1) % PLACE).cast("int")
-    kept = stored(kept.select(F.when(~copy, F.col("m")).alias("m"), "doc_id", "th", at.alias("at"), n.alias("n"), copy.alias("copy"), "crowded"), "runs")
-
-    def content(part: DataFrame) -> DataFrame:
-        wanted = part.groupBy(F.col("doc_id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_set(F.struct("m", "at", "n")).alias("runs"))
-        own = rows.join(wanted, (rows.doc_id == F.col("of")) & (rows.th == F.col("of_th"))).select("doc_id", "th", "text", "runs")
-        return own.mapInArrow(lambda it: _content(it, width), RUN)
-
-    edges = [_sorted_edges(content(kept.filter("not copy and not crowded")), width)]
-    crowds = kept.filter("not copy and crowded")
+    kept = stored(_met(runs, crowd), "runs")
+    wanted = kept.filter("not copy").groupBy(F.col("doc_id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_set(F.struct("m", "at", "n", "crowded")).alias("runs"))
+    own = rows.join(wanted, (rows.doc_id == F.col("of")) & (rows.th == F.col("of_th"))).select("doc_id", "th", "text", "runs")
+    content = stored(own.mapInArrow(lambda it: _content(it, width), f"{RUN}, crowded boolean"), "content")  # texts move once, and are gone before their runs move
+    edges = [_sorted_edges(content.filter("not crowded").drop("crowded"), width)]
+    crowds = content.filter("crowded").drop("crowded")
     if not crowds.isEmpty():
-        edges += _crowded(content(crowds), width, crowd, 1)
+        edges += _crowded(crowds, width, crowd, 1)
     return _copies(kept.filter("copy"), F.col("n"), width).unionByName(stored(reduce(DataFrame.unionByName, edges), "edges"))
 
 

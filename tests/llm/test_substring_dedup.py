@@ -85,3 +85,40 @@ def test_remove_repeats_keeps_columns(spark):
     got = {r.doc_id: r for r in sd.remove_repeats(docs).collect()}
     assert got[2].text == "x" and got[2].n_chars == 1 and got[1].text == "é" * 60
     assert sd.remove_repeats(docs.limit(0)).isEmpty()
+
+
+def test_equal_windows_agree_in_a_side():
+    rng = random.Random(5)
+    texts = [b"ab" * 60, b"a" * 90]
+    passages = ["".join(rng.choices("abc", k=rng.randint(50, 90))) for _ in range(8)]
+    for _ in range(60):
+        texts.append("".join("".join(rng.choices("abc", k=rng.randint(0, 60))) + rng.choice(passages) for _ in range(3)).encode())
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    eight = sd._eights(raw)
+    hashes = sd.gram_hashes(eight, len(raw) - 15)
+    keys = sd.least_hashes(hashes)
+    row, at, n, key = sd.window_runs(raw, offsets)
+    left, right = sd.run_sides(eight, hashes, keys, at + offsets[row], n)
+    assert (left > 0).any() and (right > 0).any() and ((left == 0) & (right == 0)).any()
+    runs = {}
+    for i, (r, a, c) in enumerate(zip(row, at, n)):
+        for k in range(a, a + c):
+            runs.setdefault(texts[r][k : k + 50], set()).add(i)
+    pairs = {(x, y) for same in runs.values() for x in same for y in same if row[x] < row[y]}
+    assert len(pairs) > 100
+    for x, y in pairs:
+        wild = not (left[x] or right[x]) or not (left[y] or right[y])
+        assert key[x] == key[y] and (wild or 0 < left[x] == left[y] or 0 < right[x] == right[y])
+
+
+def test_phrases_too_short_to_go_move_no_bytes(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    prose = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    phrases, passage = [prose(24) for _ in range(5)], prose(70)
+    docs = [(i, "".join(prose(60) + rng.choice(phrases) for _ in range(6))) for i in range(40)] + [(50, prose(30) + passage + prose(30)), (51, passage + prose(40))]
+    monkeypatch.setattr(sd, "stored", lambda df, tag, f=sd.stored: met.setdefault(tag, f(df, tag)))
+    met = {}
+    got = {r.doc_id: r.n_removed for r in sd.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: n for i, n in got.items() if n} == {51: 70}
+    moved = met["runs"].filter("not copy").groupBy("doc_id").count().collect()
+    assert {r.doc_id for r in moved} <= {50, 51} and len(moved)
